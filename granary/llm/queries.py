@@ -29,7 +29,29 @@ def op8_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, table(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import piece_digests
+
+    return piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_token_files, write_token_files
+
+    folder, manifest = write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, folder, manifest)
+
+
+def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece_viterbi": op2_sentencepiece_viterbi,
+    "op3_token_files": op3_token_files,
+    "op7_cost_balanced_packing": op7_cost_balanced_packing,
     "op8_histogram_sort_shards": op8_histogram_sort_shards,
 }
 
