@@ -9,7 +9,6 @@ level (and at last by the row number).  Rows are exchanged once, at the end.
 
 from __future__ import annotations
 
-import bisect
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +19,8 @@ from .shared import session_partitions, written
 
 #: Bits of the key that one round resolves: 256 cells for each open splitter.
 ROUND_BITS = 8
+#: Stands for a null doc_id.
+NO_ID = -(1 << 62)
 
 
 @dataclass
@@ -97,18 +98,18 @@ def histogram_splitters(
     return splitters, (total, rows)
 
 
-def _before(keys: list[str], border: list[int]) -> Column:
+def _before(keys: list[Column], border: list[int]) -> Column:
     """Whether a row's key lies before the border (whose missing levels are the least)."""
     out = F.lit(False)
     for key, value in reversed(list(zip(keys, border, strict=False))):
         # a border one past the largest long has every row before it
-        less = F.lit(True) if value > (1 << 63) - 1 else F.col(key) < F.lit(value)
-        same = F.lit(False) if value > (1 << 63) - 1 else F.col(key) == F.lit(value)
+        less = F.lit(True) if value > (1 << 63) - 1 else key < F.lit(value)
+        same = F.lit(False) if value > (1 << 63) - 1 else key == F.lit(value)
         out = less | (same & out)
     return out
 
 
-def part_of(keys: list[str], splitters: list[Splitter]) -> Column:
+def part_of(keys: list[Column], splitters: list[Splitter]) -> Column:
     """The number of borders at or before a row's key, as a balanced tree of comparisons."""
 
     def tree(lo: int, hi: int) -> Column:
@@ -120,12 +121,17 @@ def part_of(keys: list[str], splitters: list[Splitter]) -> Column:
     return tree(0, len(splitters))
 
 
+def known_id() -> Column:
+    """doc_id as a long; null ids come before all others."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def sized_keys(docs: DataFrame, extra: list[Column] = ()) -> DataFrame:
     """The key table of a documents frame, written once: text hash, doc_id, row number, size."""
     return written(
         docs.select(
             F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"),
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_doc"),
+            known_id().alias("_doc"),
             F.monotonically_increasing_id().alias("_row"),
             "doc_id",
             (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"),
@@ -146,7 +152,7 @@ def histogram_shards(table: DataFrame, keys: list[str], weight: str, shards: int
     starts = [0, *[s.below_rows for s in splitters]]
     offsets = F.array(*[F.lit(starts[i] - starts[i - i % fine]) for i in range(len(starts))])
     return (
-        table.withColumn("_part", part_of(keys, splitters))
+        table.withColumn("_part", part_of([F.col(k) for k in keys], splitters))
         .withColumn("shard", F.expr(f"cast(_part div {fine} as int)"))
         .withColumn("slot", (F.row_number().over(W.partitionBy("_part").orderBy(*keys)) - 1 + F.get(offsets, F.col("_part"))).cast("long"))
         .drop("_part")
@@ -165,13 +171,9 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24) -> D
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def ordered_parts(docs: DataFrame, parts: int) -> tuple[Column, list[Splitter], DataFrame]:
-    """Cuts documents by ascending doc_id into parts of about equal bytes: the part of a row, the
-    borders, and the written key table.  Rows that share a doc_id stay in one part."""
+def ordered_parts(docs: DataFrame, parts: int) -> tuple[Column, DataFrame]:
+    """Cuts documents by ascending doc_id into parts of about equal bytes: the part of a row, and
+    the written key table.  Rows that share a doc_id stay in one part."""
     table = sized_keys(docs)
     splitters, _ = histogram_splitters(table, ["_doc"], "size", parts, tolerance=0.02)
-    return part_of(["doc_id"], splitters), splitters, table
-
-
-def place(splitters: list[Splitter], doc_id: int) -> int:
-    return bisect.bisect_right([s.key[0] for s in splitters], doc_id)
+    return part_of([known_id()], splitters), table

@@ -134,8 +134,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, length:
     folder = new_folder(spark, "tokens")
     count = parts or session_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    part, _, _ = ordered_parts(docs, count)
-    placed = docs.withColumn("part", F.coalesce(part, F.lit(0))).repartitionById(count, F.col("part")).sortWithinPartitions("doc_id", "text")
+    part, _ = ordered_parts(docs, count)
+    placed = docs.withColumn("part", part).repartitionById(count, F.col("part")).sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         writer, name, first, rows = None, "", 0, 0
