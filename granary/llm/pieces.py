@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import with_field
 from .textops import slices, text_buffers
 
 MARK = "▁"
@@ -153,8 +154,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in names], ids], [*names, "ids"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = kept.schema.add("ids", "array<int>")
-    return kept.mapInArrow(encode, schema)
+    return kept.mapInArrow(encode, with_field(kept.schema, "ids", "array<int>"))
 
 
 def decode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
@@ -171,7 +171,7 @@ def decode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(texts, pa.string())], [*names, "decoded"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    return kept.mapInArrow(decode, kept.schema.add("decoded", "string"))
+    return kept.mapInArrow(decode, with_field(kept.schema, "decoded", "string"))
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:

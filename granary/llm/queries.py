@@ -42,6 +42,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, manifest)
 
 
+def op5_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_with_edits
 
@@ -57,6 +63,7 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece_viterbi": op2_sentencepiece_viterbi,
     "op3_token_files": op3_token_files,
+    "op5_factorization_machine_toxicity": op5_factorization_machine_toxicity,
     "op6_lempel_ziv_fingerprints": op6_lempel_ziv_fingerprints,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
     "op8_histogram_sort_shards": op8_histogram_sort_shards,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _own: str | None = None
 
@@ -54,3 +55,7 @@ def open_folder(uri: str):
 
 def session_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])

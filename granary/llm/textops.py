@@ -25,6 +25,8 @@ _LOWER = np.arange(256)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER_VALUE = _VALUE[_LOWER]
+#: Everything in ASCII but letters and digits.
+NOT_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 _powers = np.ones(1, U), np.ones(1, U)
 
@@ -85,23 +87,31 @@ def slices(offsets: np.ndarray, budget: int = SLICE_BYTES) -> Iterator[tuple[int
         lo = min(hi, n)
 
 
-def hash_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of consecutive texts, and the number of words of each text.
+def cut_tokens(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts consecutive texts into maximal runs of bytes that are no separators.
 
-    A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z are lower-cased, and no
-    word crosses the border of two texts.
+    Returns the bytes of the texts, starts and ends of the runs in them, and the number of runs of
+    each text; no run crosses the border of two texts.
     """
     first, last = int(offsets[0]), int(offsets[-1])
     part, at = data[first:last], offsets - first
     if not len(part):
-        return np.zeros(0, U), np.zeros(len(at) - 1, np.int64)
-    word = ~_SPACE[part]
+        return part, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
+    word = ~separator[part]
     before, after = np.zeros(len(part), bool), np.zeros(len(part), bool)
     before[1:], after[:-1] = word[:-1], word[1:]
     borders = at[(at > 0) & (at < len(part))]
     before[borders], after[borders - 1] = False, False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    counts = np.diff(np.searchsorted(starts, at))
+    return part, starts, ends, np.diff(np.searchsorted(starts, at))
+
+
+def hash_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of consecutive texts, and the number of words of each text.
+
+    A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z are lower-cased.
+    """
+    part, starts, ends, counts = cut_tokens(data, offsets)
     return span_hashes(part, starts, ends, _LOWER_VALUE), counts
 
 
