@@ -42,6 +42,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, manifest)
 
 
+def op4_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -63,6 +69,7 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece_viterbi": op2_sentencepiece_viterbi,
     "op3_token_files": op3_token_files,
+    "op4_deobfuscated_pii": op4_deobfuscated_pii,
     "op5_factorization_machine_toxicity": op5_factorization_machine_toxicity,
     "op6_lempel_ziv_fingerprints": op6_lempel_ziv_fingerprints,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
