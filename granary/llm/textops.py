@@ -136,74 +136,89 @@ def sorted_counts(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.n
 
 # White space as the byte-level pre-tokeniser sees it (Unicode White_Space).
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_CHUNK = re.compile(f" ?[{_LATIN}]++(?=[.,]*(?:[{_WS}]|\\Z))|[.,]+(?=[{_WS}]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_LETTERS = re.compile(f" ?[{_LATIN}]+")
 _WORD = re.compile(f" ?[^{_WS}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    shifted = iter(range(0x100, 0x200))
+    return {b: chr(b if b in plain else next(shifted)) for b in range(256)}
+
+
 class CachedEncoder:
     """Byte-level BPE ids by the tokenizers library, remembered per chunk of text.
 
-    A chunk is a word with at most one space before it, or the white space left over; the
-    pre-tokeniser always cuts between chunks, so the ids of a text are those of its chunks in
-    order.  Words not seen before are encoded by the library a thousand at a time, joined by
-    newlines, whose id never occurs inside a word.
-    Texts that hold an added token's string are encoded whole.
+    A chunk is a run of Latin letters with at most one space before it, the full stops and commas
+    after one, another run of non-spaces, or the white space left over; the pre-tokeniser always
+    cuts between these, so the ids of a text are those of its chunks in order.  What is not
+    remembered goes to the library a thousand chunks at a time, set apart by newlines, whose id
+    occurs in no chunk of non-spaces; letters are one pre-token each and skip the pre-tokeniser.
+    The first `keep` chunks are remembered, later ones for the length of a call only.
+    Texts that hold an added token's string, and vocabularies of another kind, are encoded whole.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
-        from tokenizers import Tokenizer
+        import json
+
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t["content"] for t in config["added_tokens"]]
+        splits = config["pre_tokenizer"] or {}
+        self.by_chunk = splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space") and not config["normalizer"]
         self.newline = self._ids("\n")
+        self.letters = _byte_letters()
+        self.letters[ord("\n")] = f" {self.letters[ord('\n')]} "
+        # the same model behind a cheaper splitter, for pre-tokens in the byte-level alphabet
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.words.model._resize_cache(0)
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > self.keep:
-            self.known.clear()
-        words = [c for c in chunks if _WORD.fullmatch(c)] if len(self.newline) == 4 else []
-        newline = np.frombuffer(self.newline, "<u4")
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            raw = self._ids("\n".join(part))
-            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == newline[0])
-            if len(cuts) == len(part) - 1:
-                lo = 0
-                for chunk, cut in zip(part, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                    self.known[chunk] = raw[lo:cut]
-                    lo = cut + 4
+    def _ids(self, text: str, by=None) -> bytes:
+        return np.array((by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        letters, others = [], []
+        if len(self.newline) == 4:
+            for c in chunks:
+                if _LETTERS.fullmatch(c):
+                    letters.append(c)
+                elif _WORD.fullmatch(c):
+                    others.append(c)
+        for words, fast in ((letters, True), (others, False)):
+            for at in range(0, len(words), 1000):
+                part = words[at : at + 1000]
+                joined = "\n".join(part)
+                raw = self._ids(joined.encode().decode("latin-1").translate(self.letters), self.words) if fast else self._ids(joined)
+                cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.newline, "<u4"))
+                if len(cuts) == len(part) - 1:
+                    lo = 0
+                    for chunk, cut in zip(part, [*(4 * cuts).tolist(), len(raw)], strict=True):
+                        self.known[chunk] = raw[lo:cut]
+                        lo = cut + 4
         for chunk in chunks:
             if chunk not in self.known:
                 self.known[chunk] = self._ids(chunk)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_chunk:
+            return [self._ids(t) if t else b"" for t in texts]
         cut = [_CHUNK.findall(t) if t else () for t in texts]
-        out: list[bytes] = []
-        lo = 0
-        while lo < len(texts):
-            hi, new, room = lo, set(), 0
-            while hi < len(texts) and room < 200_000:
-                new.update(cut[hi])
-                room += len(cut[hi])
-                hi += 1
-            new.difference_update(self.known)
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
-                new = set().union(*cut[lo:hi])
-            if new:
-                self._learn(new)
-            get = self.known.__getitem__
-            for text, chunks in zip(texts[lo:hi], cut[lo:hi], strict=True):
-                if text and any(s in text for s in self.special):
-                    out.append(self._ids(text))
-                else:
-                    out.append(b"".join(map(get, chunks)))
-            lo = hi
+        new = list(set().union(*cut).difference(self.known))
+        self._learn(new)
+        get = self.known.__getitem__
+        out = [self._ids(t) if t and any(s in t for s in self.special) else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        for chunk in new[max(0, self.keep - len(self.known) + len(new)) :]:
+            del self.known[chunk]
         return out
 
 
