@@ -1,14 +1,54 @@
-"""Operator 9: near-duplicate groups by a multi-index Hamming join of b-bit MinHash signatures."""
+"""Operator 9: near-duplicate groups by a multi-index Hamming join of b-bit MinHash signatures.
+
+1. Equal shingle sets form one class; from here on only classes are compared, so exact copies, how
+   many there may be, cost one row each.
+2. A class has a signature of WIDE components: the JOINED first ones keep 16 bits of their minimum,
+   the others 8.  Its distance to another is the number of components that differ; two sets of
+   similarity s differ in about (1 - s) of them.
+3. Multi-index: the joined components are split into CHUNKS chunks.  Two signatures that differ in
+   at most CHUNKS * (ERRORS + 1) - 1 joined components have, by pigeonhole, a chunk with at most
+   ERRORS differences; so a class is listed, for every chunk, under each way of leaving ERRORS
+   components out.  Every pair within that distance meets under some key.
+4. Pairs first: each class with the least class under each of its keys (linear in the rows).  Pairs
+   within the WIDE distance are confirmed on the full sets, and links joined to components.
+   Pairs then: under every key that still holds two components, all pairs across components within
+   the WIDE distance, each under its first common key only; these are confirmed and joined too.
+   Pairs left out lie inside one component already, so no link between different texts is lost.
+
+At a similarity of 0.85 a pair exceeds a distance limit with a chance below 2e-5; above it with far
+less.  Limits and sizes do not depend on the data, and nothing is capped: a key with very many
+classes is cut into blocks of BLOCK, and every pair of blocks is compared in a task of its own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .textops import hash_tokens, mix64, sorted_unique
+from .components import connected_components
+from .shared import written
+from .textops import hash_tokens, mix64, slices, sorted_unique, text_buffers
 
 U = np.uint64
 WIDTH = 5
+WIDE, JOINED, CHUNKS, ERRORS = 256, 64, 12, 1
+#: Largest distances of a pair that is confirmed on full sets.
+JOINED_LIMIT, WIDE_LIMIT = CHUNKS * (ERRORS + 1) - 1, 65
+SIGNATURE_BYTES = 2 * JOINED + WIDE - JOINED
+BLOCK = 4096
+
 _STEP = U(0xD6E8FEB86659FD93)
+_random = np.random.default_rng(5)
+_XOR = _random.integers(0, 1 << 63, WIDE, dtype=np.uint64)
+_FACTOR = _random.integers(0, 1 << 63, WIDE, dtype=np.uint64) | U(1)
+_CHUNK_OF = np.repeat(np.arange(CHUNKS), [len(x) for x in np.array_split(np.arange(JOINED), CHUNKS)])
+_CHUNK_STARTS = np.flatnonzero(np.concatenate(([True], _CHUNK_OF[1:] != _CHUNK_OF[:-1])))
+_SALT = mix64(np.arange(1, JOINED + 1, dtype=np.uint64) * _STEP)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -27,10 +67,243 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> l
         if hi - lo >= width:
             out.append(sorted_unique(rolled[lo : hi - width + 1]))
         elif hi > lo:
-            whole = U(hi - lo)  # the length, so that short sequences differ from long ones
+            whole = np.array([hi - lo], U)  # the length, so that short sequences differ from long ones
             for w in words[lo:hi]:
-                whole = mix64(np.array([whole * _STEP + w], U))[0]
-            out.append(np.array([whole], U))
+                whole = mix64(whole * _STEP + w)
+            out.append(whole)
         else:
             out.append(np.zeros(0, U))
     return out
+
+
+def class_id(shingles: np.ndarray) -> int:
+    """A 64-bit id of a set, as a signed long; equal for equal sets."""
+    both = np.array([np.add.reduce(shingles * _STEP ^ shingles >> U(7)), np.bitwise_xor.reduce(shingles) + U(len(shingles))], U)
+    mixed = mix64(both)
+    return int(mix64(mixed[:1] * _STEP + mixed[1:]).astype(np.int64)[0])
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """The b-bit MinHash signature of a non-empty set."""
+    least = np.full(WIDE, np.iinfo(np.uint64).max, U)
+    for lo in range(0, len(shingles), 512):
+        block = (shingles[lo : lo + 512, None] ^ _XOR) * _FACTOR
+        np.minimum(least, block.min(0), out=least)
+    bits = mix64(least)
+    return bits[:JOINED].astype("<u2").tobytes() + bits[JOINED:].astype(np.uint8).tobytes()
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long binaries as rows of a byte matrix."""
+    data, offsets = text_buffers(column)
+    return data[int(offsets[0]) : int(offsets[-1])].reshape(len(column), -1)
+
+
+def _joined(signatures: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(signatures[:, : 2 * JOINED]).view("<u2")
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of signatures row by row: in the joined components, and in all."""
+    joined = (_joined(a) != _joined(b)).sum(1)
+    return joined, joined + (a[:, 2 * JOINED :] != b[:, 2 * JOINED :]).sum(1)
+
+
+def index_keys(signatures: np.ndarray) -> np.ndarray:
+    """The JOINED keys of each signature: component k left out of its chunk, for every k."""
+    terms = mix64(_joined(signatures).astype(U) + _SALT)
+    sums = np.add.reduceat(terms, _CHUNK_STARTS, axis=1)
+    return mix64(sums[:, _CHUNK_OF] - terms + _SALT)
+
+
+def first_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first key that both signatures of each row have, JOINED if they have none."""
+    differ = _joined(a) != _joined(b)
+    errors = np.add.reduceat(differ.astype(np.int64), _CHUNK_STARTS, axis=1)
+    # component k's key is common if its chunk has no error, or k is the chunk's only one
+    common = (errors[:, _CHUNK_OF] == 0) | ((errors[:, _CHUNK_OF] == 1) & differ)
+    return np.where(common.any(1), common.argmax(1), JOINED)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """Written: doc_id, n_shingles, node (null without shingles) and signature of every document."""
+
+    def read(batches):
+        for b in batches:
+            data, offsets = text_buffers(b.column("text"))
+            for lo, hi in slices(offsets):
+                sets = shingle_sets(data, offsets[lo : hi + 1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").slice(lo, hi - lo),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    ["doc_id", "n_shingles", "node", "signature"],
+                )
+
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(kept.mapInArrow(read, "doc_id long, n_shingles long, node long, signature binary"), "classes")
+
+
+def keyed(nodes: DataFrame) -> DataFrame:
+    """(node, slot, key) for every key of every signature, with the other columns but the signature."""
+    rest = [c for c in nodes.columns if c != "signature"]
+
+    def emit(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                s = b.slice(lo, 4096)
+                keys = index_keys(_matrix(s.column("signature"))).astype(np.int64).ravel()
+                at = pa.array(np.repeat(np.arange(s.num_rows), JOINED))
+                slots = pa.array(np.tile(np.arange(JOINED, dtype=np.int32), s.num_rows))
+                yield pa.RecordBatch.from_arrays([*[s.column(c).take(at) for c in rest], slots, pa.array(keys)], [*rest, "slot", "key"])
+
+    return nodes.mapInArrow(emit, ", ".join([*[f"{c} long" for c in rest], "slot int", "key long"]))
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures are within both limits."""
+
+    def keep(batches):
+        for b in batches:
+            joined, wide = differing(_matrix(b.column("sa")), _matrix(b.column("sb")))
+            near = pa.array((joined <= JOINED_LIMIT) & (wide <= WIDE_LIMIT))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+
+    with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
+    return with_a.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
+
+
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of classes under one key and of different labels within the limits, each once.
+
+    `members`: node, label, slot, key, signature, and n, the number of rows of the key.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        members.withColumn("blocks", blocks)
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "slot", "node", "label", "signature")
+    )
+
+    def runs(batches) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+        """Rows of one (key, lo, hi), which follow each other."""
+        held, name = [], None
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if hi > lo:
+                    now = tuple(marks[:, lo].tolist())
+                    if now != name and held:
+                        yield name, held
+                        held = []
+                    name = now
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield name, held
+
+    def compare(batches):
+        for (_, lo, hi), held in runs(batches):
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if t.num_rows < 2:
+                continue
+            node, label, own = (t.column(c).to_numpy() for c in ("node", "label", "own"))
+            slot, s = t.column("slot")[0].as_py(), _matrix(t.column("signature"))
+            left = np.flatnonzero(own == lo)
+            right = left if lo == hi else np.flatnonzero(own == hi)
+            step = max(1, (1 << 24) // (max(1, len(right)) * WIDE))
+            for at in range(0, len(left), step):
+                i = left[at : at + step]
+                a, b = np.repeat(i, len(right)), np.tile(right, len(i))
+                ok = (label[a] != label[b]) & ((a < b) | (lo != hi))
+                a, b = a[ok], b[ok]
+                for k in range(0, len(a), 1 << 15):
+                    x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+                    joined, wide = differing(s[x], s[y])
+                    near = (joined <= JOINED_LIMIT) & (wide <= WIDE_LIMIT)
+                    x, y = x[near], y[near]
+                    first = first_keys(s[x], s[y]) == slot
+                    x, y = node[x[first]], node[y[first]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    return ordered.mapInArrow(compare, "a long, b long")
+
+
+def full_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Written: (node, shingles) of the given classes, made from one document of each."""
+    chosen = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+
+    def read(batches):
+        for b in batches:
+            data, offsets = text_buffers(b.column("text"))
+            for lo, hi in slices(offsets):
+                sets = [s for s in shingle_sets(data, offsets[lo : hi + 1]) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+    return written(texts.mapInArrow(read, "node long, shingles binary"), "sets").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+
+    def keep(batches):
+        for batch in batches:
+            found = []
+            columns = [batch.column(c) for c in ("sa", "sb")]
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(c[k].as_buffer(), U) for c in columns)
+                total = len(x) + len(y)
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    found.append(False)
+                    continue
+                both = np.sort(np.concatenate((x, y)))
+                common = int((both[1:] == both[:-1]).sum())
+                found.append(100 * common >= percent * (total - common))
+            ok = pa.array(found, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links of
+    similarity at least `percent` / 100, itself included), kept (doc_id is its component_id).
+
+    Documents without words (or text) have no shingles and are linked with nothing, not even each
+    other.  Rows that share a doc_id are compared as rows; a null doc_id is no component's least id,
+    and a component without other ids is null and kept.  Empty tables give an empty result.
+    """
+    table = classes(docs)
+    nodes = table.filter("node is not null").groupBy("node").agg(F.first("signature").alias("signature"))
+    nodes = written(nodes, "nodes")
+    least = F.min("node").over(W.partitionBy("key"))
+    stars = keyed(nodes).withColumn("a", least).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = written(stars, "stars")
+    met = written(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), "met")
+    sets = full_sets(docs, table.select("doc_id", "node"), met)
+
+    links = written(confirmed(near_pairs(stars, nodes), sets, percent), "links")
+    labels = connected_components(links)
+
+    by_key = W.partitionBy("key")
+    open_nodes = nodes.join(met, "node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature")
+    listed = keyed(open_nodes).select("*", F.min("label").over(by_key).alias("_low"), F.max("label").over(by_key).alias("_high"), F.count("*").over(by_key).alias("n"))
+    mixed = listed.filter("_low <> _high").drop("_low", "_high")
+    more = written(cross_pairs(mixed.join(nodes, "node")), "cross")
+    found = written(confirmed(more, sets, percent), "links")
+    if not found.isEmpty():
+        labels = connected_components(links.union(found))
+
+    placed = table.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    heads = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
+    out = placed.join(heads, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("head")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

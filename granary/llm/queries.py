@@ -66,6 +66,12 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op9_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece_viterbi": op2_sentencepiece_viterbi,
     "op3_token_files": op3_token_files,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lempel_ziv_fingerprints": op6_lempel_ziv_fingerprints,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
     "op8_histogram_sort_shards": op8_histogram_sort_shards,
+    "op9_multi_index_near_dedup": op9_multi_index_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
