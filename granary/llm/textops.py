@@ -169,6 +169,7 @@ class CachedEncoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        self.largest = max(self.tokenizer.get_vocab().values(), default=0)
         self.special = [t["content"] for t in config["added_tokens"]]
         splits = config["pre_tokenizer"] or {}
         self.by_chunk = splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space") and not config["normalizer"]

@@ -2,7 +2,7 @@
 
 Documents are cut by ascending doc_id into parts of about equal bytes; each part becomes one pair
 of files in the shared folder.  `tokens-*.arrow` holds record batches of BATCH sequences, each a
-fixed-size list of LENGTH ids with a mask of the same shape (0 on the padding that ends a file), so
+fixed-size list of LENGTH ids with a mask of the same shape (false on the padding that ends a file), so
 sequence i lies in batch i // BATCH and is reached without parsing or copying.  `docs-*.arrow`
 holds doc_id, start and n_tokens of each document in the file.
 
@@ -30,8 +30,9 @@ LENGTH, BATCH = 2048, 256
 ENCODE_BYTES = 1 << 21
 
 
-def token_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def token_schema(length: int, narrow: bool) -> pa.Schema:
+    """Ids take two bytes where the vocabulary allows; the mask is a bitmap."""
+    return pa.schema([("ids", pa.list_(pa.uint16() if narrow else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -40,10 +41,11 @@ DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_token
 class TokenFileWriter:
     """Writes one pair of files with bounded memory."""
 
-    def __init__(self, folder: str, name: str, length: int = LENGTH, batch: int = BATCH):
+    def __init__(self, folder: str, name: str, length: int = LENGTH, batch: int = BATCH, narrow: bool = False):
         self.fs, root = open_folder(folder)
         self.fs.create_dir(root, recursive=True)
-        self.length, self.batch, self.schema = length, batch, token_schema(length)
+        self.length, self.batch, self.schema = length, batch, token_schema(length, narrow)
+        self.kind = np.uint16 if narrow else np.uint32
         self.names = f"tokens-{name}.arrow", f"docs-{name}.arrow"
         self.sinks = [self.fs.open_output_stream(f"{root}/{n}") for n in self.names]
         self.tokens, self.docs = pa.ipc.new_file(self.sinks[0], self.schema), pa.ipc.new_file(self.sinks[1], DOC_SCHEMA)
@@ -71,8 +73,8 @@ class TokenFileWriter:
     def _write(self, data: bytes) -> None:
         n = len(data) // 4
         rows = -(-n // self.length)
-        ids, mask = np.zeros(rows * self.length, np.uint32), np.zeros(rows * self.length, np.uint8)
-        ids[:n], mask[:n] = np.frombuffer(data, "<u4"), 1
+        ids, mask = np.zeros(rows * self.length, self.kind), np.zeros(rows * self.length, bool)
+        ids[:n], mask[:n] = np.frombuffer(data, "<u4"), True
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.tokens.write_batch(pa.record_batch(columns, schema=self.schema))
 
@@ -104,9 +106,11 @@ class TokenFile:
     def _flat(self, batch: int, column: str) -> np.ndarray:
         return self.tokens.get_batch(batch).column(column).flatten().to_numpy(zero_copy_only=True)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and the mask of sequence i, both views into the file."""
         lo = i % self.batch * self.length
-        return tuple(self._flat(i // self.batch, c)[lo : lo + self.length] for c in ("ids", "mask"))
+        mask = self.tokens.get_batch(i // self.batch).column("mask").flatten()
+        return self._flat(i // self.batch, "ids")[lo : lo + self.length], mask.slice(lo, self.length)
 
     def spans(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The n ids from `start` on, as views into the batches that hold them."""
@@ -145,7 +149,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, length:
             if writer is None:
                 first = b.column("part")[0].as_py()
                 name = f"{first:06d}-{TaskContext.get().attemptNumber()}-{uuid.uuid4().hex}"
-                writer = TokenFileWriter(folder, name, length, batch)
+                writer = TokenFileWriter(folder, name, length, batch, max(end_id, encoder(vocabulary).largest) < 1 << 16)
             encode = encoder(vocabulary).encode
             ids, (_, offsets) = b.column("doc_id").to_pylist(), text_buffers(b.column("text"))
             for lo, hi in slices(offsets, ENCODE_BYTES):
@@ -177,7 +181,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     for i, (at, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
                         crc = 0
                         for view in file.spans(at, n):
-                            crc = zlib.crc32(view, crc)
+                            crc = zlib.crc32(view.astype("<u4", copy=False), crc)
                         crcs[i] = crc
                     ids = pa.array(doc_id, pa.int64(), from_pandas=True)
                     yield pa.RecordBatch.from_arrays([ids, pa.array(starts + base), pa.array(counts), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
