@@ -29,6 +29,12 @@ def op8_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, table(spark, sf_dir, "documents"), shards=24)
 
 
+def op1_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import held_out_scores
+
+    return held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import piece_digests
 
@@ -81,6 +87,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney_scores": op1_kneser_ney_scores,
     "op2_sentencepiece_viterbi": op2_sentencepiece_viterbi,
     "op3_token_files": op3_token_files,
     "op4_deobfuscated_pii": op4_deobfuscated_pii,
