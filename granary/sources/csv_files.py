@@ -73,9 +73,10 @@ def read_text_csv(spark: SparkSession, path: Path | str, *, multiline: bool = Tr
     inner = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*inner, _CORRUPT]])
     raw = spark.read.schema(schema).options(header=True, multiLine=multiline, **_OPTIONS).csv(str(path))
-    longer = raw.select(*inner, _CORRUPT).filter(F.col(_CORRUPT).isNotNull()).select(_CORRUPT)
-    for line in longer.toLocalIterator():
-        fields = next(csv.reader(io.StringIO(line[0])), [])
+    # a line that did not fit the header, with at least as many commas as columns: too long, or quoted commas
+    commas = F.length(_CORRUPT) - F.length(F.replace(F.col(_CORRUPT), F.lit(",")))
+    for row in raw.filter(F.col(_CORRUPT).isNotNull() & (commas >= len(names))).toLocalIterator():
+        fields = next(csv.reader(io.StringIO(row[_CORRUPT])), [])
         if len(fields) > len(names):
             raise ValueError(f"a row of {path.name} has {len(fields)} fields, the header {len(names)}")
     text = raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in inner])
