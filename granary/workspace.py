@@ -1,9 +1,11 @@
-"""A folder that driver and executors share, for tables and files that queries write."""
+"""What queries need around them: a shared folder to write to, and the package on the workers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +19,17 @@ def new_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/granary"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever they run; once for a context."""
+    context = spark.sparkContext
+    if getattr(context, "_granary_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="granary-")) / "granary.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, file.relative_to(here.parent))
+    context.addPyFile(str(archive))  # the driver serves it; executors fetch it
+    context._granary_shipped = True
