@@ -78,7 +78,9 @@ def judged(aligned: DataFrame) -> DataFrame:
 def accepted(rows: DataFrame) -> DataFrame:
     """The canonical columns, typed, of judged rows without a violation."""
     columns = [F.col("_sku").alias("sku_id"), F.col("_day").alias("timestamp"), (F.col("_amount") + F.lit(0.0)).alias("demand_qty"), F.col("_days").try_cast("bigint").alias("lead_time_days")]
-    return rows.filter("_prio is null").select(*columns, *([F.col(ROW_INDEX)] if ROW_INDEX in rows.columns else []))
+    place = [F.col(ROW_INDEX)] if ROW_INDEX in rows.columns else []
+    # a list of one row or none, not a filter: the optimiser would copy the whole parse into the predicate
+    return rows.select(F.inline(F.when(F.col("_prio").isNull(), F.array(F.struct(*columns, *place)))))
 
 
 def violations(aligned: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ def split_stream(aligned: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows are written to.
     """
     rows = judged(aligned)
-    rejected = rows.filter("_v is not null").select(*[F.col(c).alias(f"raw_{c}") for c in aligned.columns], "_v.*")
+    raw = [F.col(c).alias(f"raw_{c}") for c in aligned.columns]
+    rejected = rows.select(*raw, F.explode(F.array_compact(F.array("_v"))).alias("_v")).select(*[f"raw_{c}" for c in aligned.columns], "_v.*")
     return accepted(rows), rejected
 
 
