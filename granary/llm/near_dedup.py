@@ -11,8 +11,10 @@
    components out.  Every pair within that distance meets under some key.
 4. Pairs first: each class with the least class under each of its keys (linear in the rows).  Pairs
    within the WIDE distance are confirmed on the full sets, and links joined to components.
-   Pairs then: under every key that still holds two components, all pairs across components within
-   the WIDE distance, each under its first common key only; these are confirmed and joined too.
+   Then, under every key that still holds two components, the pairs of its most central class with
+   those of other components, which joins what clusters around an unseen original.
+   Pairs last: under every key that holds two components even now, all pairs across components
+   within the WIDE distance, each under its first common key only.
    Pairs left out lie inside one component already, so no link between different texts is lost.
 
 At a similarity of 0.85 a pair exceeds a distance limit with a chance below 2e-5; above it with far
@@ -36,9 +38,9 @@ from .textops import hash_tokens, mix64, slices, sorted_unique, text_buffers
 
 U = np.uint64
 WIDTH = 5
-WIDE, JOINED, CHUNKS, ERRORS = 256, 64, 12, 1
+WIDE, JOINED, CHUNKS, ERRORS = 512, 64, 12, 1
 #: Largest distances of a pair that is confirmed on full sets.
-JOINED_LIMIT, WIDE_LIMIT = CHUNKS * (ERRORS + 1) - 1, 65
+JOINED_LIMIT, WIDE_LIMIT = CHUNKS * (ERRORS + 1) - 1, 114
 SIGNATURE_BYTES = 2 * JOINED + WIDE - JOINED
 BLOCK = 4096
 
@@ -86,8 +88,8 @@ def class_id(shingles: np.ndarray) -> int:
 def signature(shingles: np.ndarray) -> bytes:
     """The b-bit MinHash signature of a non-empty set."""
     least = np.full(WIDE, np.iinfo(np.uint64).max, U)
-    for lo in range(0, len(shingles), 512):
-        block = (shingles[lo : lo + 512, None] ^ _XOR) * _FACTOR
+    for lo in range(0, len(shingles), 256):
+        block = (shingles[lo : lo + 256, None] ^ _XOR) * _FACTOR
         np.minimum(least, block.min(0), out=least)
     bits = mix64(least)
     return bits[:JOINED].astype("<u2").tobytes() + bits[JOINED:].astype(np.uint8).tobytes()
@@ -176,8 +178,18 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_a.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of classes under one key and of different labels within the limits, each once.
+def central(signatures: np.ndarray) -> int:
+    """The row that differs least from up to 32 rows spread evenly over all."""
+    probes = signatures[np.linspace(0, len(signatures) - 1, min(32, len(signatures))).astype(int)]
+    total = np.zeros(len(signatures), np.int64)
+    for p in probes:
+        total += (_joined(signatures) != _joined(p[None])).sum(1)
+    return int(total.argmin())
+
+
+def cross_pairs(members: DataFrame, stars: bool = False) -> DataFrame:
+    """Pairs of classes under one key and of different labels within the limits, each once; with
+    `stars` only those with the most central class of the key (of each pair of blocks).
 
     `members`: node, label, slot, key, signature, and n, the number of rows of the key.
     """
@@ -216,19 +228,23 @@ def cross_pairs(members: DataFrame) -> DataFrame:
             slot, s = t.column("slot")[0].as_py(), _matrix(t.column("signature"))
             left = np.flatnonzero(own == lo)
             right = left if lo == hi else np.flatnonzero(own == hi)
+            if stars:
+                left = left[[central(s[left])]] if len(left) else left
             step = max(1, (1 << 24) // (max(1, len(right)) * WIDE))
             for at in range(0, len(left), step):
                 i = left[at : at + step]
                 a, b = np.repeat(i, len(right)), np.tile(right, len(i))
-                ok = (label[a] != label[b]) & ((a < b) | (lo != hi))
+                ok = (label[a] != label[b]) & ((a < b) | (lo != hi) | stars)
                 a, b = a[ok], b[ok]
                 for k in range(0, len(a), 1 << 15):
                     x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
                     joined, wide = differing(s[x], s[y])
                     near = (joined <= JOINED_LIMIT) & (wide <= WIDE_LIMIT)
                     x, y = x[near], y[near]
-                    first = first_keys(s[x], s[y]) == slot
-                    x, y = node[x[first]], node[y[first]]
+                    if not stars:
+                        first = first_keys(s[x], s[y]) == slot
+                        x, y = x[first], y[first]
+                    x, y = node[x], node[y]
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -236,6 +252,14 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, b long")
 
 
+def mixed_keys(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label, slot, key, n) of the keys that hold classes of more than one label."""
+    by_key = W.partitionBy("key")
+    open_nodes = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature")
+    listed = keyed(open_nodes).select("*", F.min("label").over(by_key).alias("_low"), F.max("label").over(by_key).alias("_high"), F.count("*").over(by_key).alias("n"))
+    return listed.filter("_low <> _high").drop("_low", "_high")
+
+
 def full_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
     """Written: (node, shingles) of the given classes, made from one document of each."""
     chosen = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -294,14 +318,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = written(confirmed(near_pairs(stars, nodes), sets, percent), "links")
     labels = connected_components(links)
 
-    by_key = W.partitionBy("key")
-    open_nodes = nodes.join(met, "node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature")
-    listed = keyed(open_nodes).select("*", F.min("label").over(by_key).alias("_low"), F.max("label").over(by_key).alias("_high"), F.count("*").over(by_key).alias("n"))
-    mixed = listed.filter("_low <> _high").drop("_low", "_high")
-    more = written(cross_pairs(mixed.join(nodes, "node")), "cross")
-    found = written(confirmed(more, sets, percent), "links")
-    if not found.isEmpty():
-        labels = connected_components(links.union(found))
+    for stars_only in (True, False):
+        mixed = mixed_keys(nodes.join(met, "node"), labels)
+        pairs = written(cross_pairs(mixed.join(nodes, "node"), stars_only), "cross")
+        found = written(confirmed(pairs.distinct() if stars_only else pairs, sets, percent), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = connected_components(links)
 
     placed = table.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     heads = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
