@@ -6,6 +6,7 @@ shortest time from order to shipment, at least one day.  Dirty text comes from e
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..sources import csv_files
 from ..sources.csv_files import ROW_INDEX
 from ..streaming.barrier import split_stream
 from ..workspace import new_path
+from .ingest import run_semantic_pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,6 +130,26 @@ def resample_daily(spark, sf_dir):
     return _panel(spark, sf_dir)
 
 
+class _FixedAnswer:
+    """A provider that always proposes the same mapping."""
+
+    def __init__(self, mapping: dict[str, str]):
+        self.answer = json.dumps(mapping)
+
+    def complete(self, prompt: str, *, temperature: float, timeout: float) -> str:
+        return self.answer
+
+
+def semantic_pipeline(spark, sf_dir):
+    """Observations as text under odd headers, through probe, barrier and re-gridding."""
+    seen = observations_daily(spark, sf_dir)
+    text = seen.select(
+        F.date_format("timestamp", "yyyy/MM/dd").alias("Fecha"), F.lit("x").alias("Note"), F.col("lead_time_days").cast("string").alias("Plazo"), F.concat(F.lit(" "), "sku_id").alias("Item"), F.col("demand_qty").cast("string").alias("Usage")
+    )
+    provider = _FixedAnswer({"sku_id": "item", "timestamp": "Fecha", "demand_qty": "Usage", "lead_time_days": "PLAZO"})
+    return run_semantic_pipeline(text, provider)[2]
+
+
 def resample_daily_general(spark, sf_dir):
     return regrid.regrid_general(observations_daily(spark, sf_dir))
 
@@ -336,6 +358,7 @@ QUERIES: dict[str, Query] = {
         gap_count_per_sku,
         lead_ffill,
         lead_bfill,
+        semantic_pipeline,
         resample_daily_general,
         continuity_check,
         panel_union,
@@ -379,6 +402,7 @@ ORACLE_SQL: dict[str, str] = {
         last_value(lead_time_days IGNORE NULLS) OVER (PARTITION BY sku_id ORDER BY "timestamp" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
         first_value(lead_time_days IGNORE NULLS) OVER (PARTITION BY sku_id ORDER BY "timestamp" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS lead_time_days FROM holes""",
     "resample_daily": f"{PANEL} SELECT {_COLUMNS} FROM panel",
+    "semantic_pipeline": f"{PANEL} SELECT {_COLUMNS} FROM panel",
     "resample_daily_general": f"{PANEL} SELECT {_COLUMNS} FROM panel",
     "continuity_check": f'{PANEL} SELECT count(*) AS broken FROM (SELECT "timestamp" - lag("timestamp") OVER (PARTITION BY sku_id ORDER BY "timestamp") AS step FROM panel) WHERE step <> INTERVAL 1 DAY',
     "panel_union": f"{PANEL} SELECT {_COLUMNS} FROM panel WHERE demand_qty > 0 UNION ALL SELECT {_COLUMNS} FROM panel WHERE demand_qty = 0",
