@@ -125,6 +125,9 @@ DOMAINS = frozenset("com org net edu gov mil int info biz io co uk de fr es it n
 # Signs of a disguise, cheap to look for; only texts that show one are rewritten.
 _BRACKETS = re.compile(rf"(?i)[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]")
 _LOOSE_AT = re.compile(r"\s@|@\s")
+# letters that stand for digits count only inside a token of digits and such letters
+_MIXED = re.compile(r"[0-9][OolI](?![a-zA-Z])|[0-9][OolI][0-9]|(?<![a-zA-Z])[OolI][0-9]")
+_MIXED_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])(?=[0-9]*[OolI])[0-9OolI]+(?![A-Za-z0-9])|(?<=[0-9.][. -])[OolI]{1,4}(?=[. -][0-9OolI])|(?<=[0-9]\.)[OolI](?![A-Za-z0-9])")
 _STRANGE = re.compile(
     "[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "٠-٩۰-۹०-९⁰-₉①-⓿　！-～\U0001d400-\U0001d7ff²³¹]"
 )
@@ -148,8 +151,8 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def disguise_signs(data: np.ndarray, offsets: np.ndarray, texts: list[str | None]) -> list[bool]:
-    """Whether each text shows a strange character, a "dot" word, a bracketed or loose mark, or two
-    spelled digits in a row."""
+    """Whether each text shows a strange character, a "dot" word, a bracketed or loose mark, two
+    spelled digits in a row, or letters among digits."""
     words, rows = hash_words(data, offsets)
     seen = np.zeros(len(texts), bool)
     seen[rows[_among(words, _DOT_HASHES)]] = True
@@ -157,7 +160,7 @@ def disguise_signs(data: np.ndarray, offsets: np.ndarray, texts: list[str | None
     pair = digit[1:] & digit[:-1] & (rows[1:] == rows[:-1])
     seen[rows[1:][pair]] = True
     return [
-        bool(s or t and ((not t.isascii() and _STRANGE.search(t)) or _BRACKETS.search(t) or ("@" in t and _LOOSE_AT.search(t))))
+        bool(s or t and ((not t.isascii() and _STRANGE.search(t)) or _BRACKETS.search(t) or _MIXED.search(t) or ("@" in t and _LOOSE_AT.search(t))))
         for s, t in zip(seen.tolist(), texts, strict=True)
     ]
 
@@ -213,8 +216,10 @@ def _plain(ch: str) -> str:
 
 
 def fold_characters(r: Rewritten) -> Rewritten:
-    """First transducer: look-alikes, other digits and invisible characters."""
-    return r.replace([(m.start(), m.end(), new) for m in _STRANGE.finditer(r.text) if (new := _plain(m[0])) != m[0]])
+    """First transducer: look-alikes, other digits and invisible characters, then letters in numbers."""
+    r = r.replace([(m.start(), m.end(), new) for m in _STRANGE.finditer(r.text) if (new := _plain(m[0])) != m[0]])
+    letters = (m.start() + k for m in _MIXED_TOKEN.finditer(r.text) for k, ch in enumerate(m[0]) if not ch.isdigit())
+    return r.replace([(i, i + 1, "0" if r.text[i] in "Oo" else "1") for i in letters])
 
 
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_WORDS}|double|triple)(?![^\W_])")

@@ -56,6 +56,8 @@ def test_long_runs_take_linear_time():
         ("call plus one five five five one two three four five six seven", "phone", "plus one five five five one two three four five six seven"),
         ("+４９ １５１ ２３４５ ６７８", "phone", "+４９ １５１ ２３４５ ６７８"),
         ("card four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
+        ("host l92.168.O.1 up", "ip", "l92.168.O.1"),
+        ("pay 4lll-1111-1111-111l", "card", "4lll-1111-1111-111l"),
         ("at 192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"),
         ("one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
     ],
