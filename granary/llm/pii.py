@@ -33,7 +33,7 @@ Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)+")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _NUMBER = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -245,8 +245,8 @@ def join_digits(r: Rewritten) -> Rewritten:
 
 
 _MARK_RULES = (
-    (re.compile(rf"(?i)\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*"), "@"),
-    (re.compile(rf"(?i)\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*"), "."),
+    (re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*"), "@"),
+    (re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*"), "."),
     (re.compile(rf"(?i)(?<=\w)[\s_*-]+(?:{_DOT})[\s_*-]+(?=\w)"), "."),
     # a bare "at" counts only before a domain whose dot was disguised, see bare_at()
     (re.compile(rf"(?i)(?<=[0-9])[\s]*(?:{_DASH})[\s]*(?=[0-9])"), "-"),
