@@ -44,7 +44,7 @@ SAMPLE = 64
 #: Contexts of one order that are spread over the buckets, at most.
 HOT = 512
 #: Bytes of text scored at once.
-SCORE_BYTES = 1 << 22
+SCORE_BYTES = 1 << 21
 
 END, PAD = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 _STEP = U(0xA24BAED4963EE407)

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once by the vectorised passes.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -35,7 +35,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash base and of its inverse modulo 2**64."""
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = (n + (1 << 16) - 1) >> 16 << 16
         made = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, U)
@@ -176,15 +176,14 @@ class CachedEncoder:
         self.newline = self._ids("\n")
         self.letters = _byte_letters()
         self.letters[ord("\n")] = f" {self.letters[ord('\n')]} "
-        # the same model behind a cheaper splitter, for pre-tokens in the byte-level alphabet
-        self.words = Tokenizer.from_file(path)
-        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.words.model._resize_cache(0)
+        # a cheaper splitter, for pre-tokens that are in the byte-level alphabet already
+        self.splitters = self.tokenizer.pre_tokenizer, pre_tokenizers.WhitespaceSplit()
+        self.tokenizer.model._resize_cache(0)
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
-    def _ids(self, text: str, by=None) -> bytes:
-        return np.array((by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
         letters, others = [], []
@@ -195,10 +194,11 @@ class CachedEncoder:
                 elif _WORD.fullmatch(c):
                     others.append(c)
         for words, fast in ((letters, True), (others, False)):
+            self.tokenizer.pre_tokenizer = self.splitters[fast]
             for at in range(0, len(words), 1000):
                 part = words[at : at + 1000]
                 joined = "\n".join(part)
-                raw = self._ids(joined.encode().decode("latin-1").translate(self.letters), self.words) if fast else self._ids(joined)
+                raw = self._ids(joined.encode().decode("latin-1").translate(self.letters)) if fast else self._ids(joined)
                 cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.newline, "<u4"))
                 if len(cuts) == len(part) - 1:
                     lo = 0
