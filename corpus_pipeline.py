@@ -15,6 +15,9 @@ from granary.llm import near_dedup, packing, pii, toxicity
 from granary.llm.queries import table, vocabulary
 from granary.llm.shared import written
 
+#: Percent of shared five-word shingles from which two documents count as copies.
+SIMILAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the toxicity model, learned from `labels`, scores below 0.5."""
@@ -23,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group; documents without an id are all kept."""
-    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    """Keeps the document of least doc_id of each group of SIMILAR ones; documents without an id are all kept."""
+    kept = near_dedup.near_duplicates(docs, SIMILAR).filter("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter("doc_id is null"))
 

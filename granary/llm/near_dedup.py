@@ -5,10 +5,10 @@
 2. A class has a signature of WIDE components: the JOINED first ones keep 16 bits of their minimum,
    the others 8.  Its distance to another is the number of components that differ; two sets of
    similarity s differ in about (1 - s) of them.
-3. Multi-index: the joined components are split into CHUNKS chunks.  Two signatures that differ in
-   at most CHUNKS * (ERRORS + 1) - 1 joined components have, by pigeonhole, a chunk with at most
-   ERRORS differences; so a class is listed, for every chunk, under each way of leaving ERRORS
-   components out.  Every pair within that distance meets under some key.
+3. Multi-index: the joined components are split into chunks.  Two signatures that differ in at most
+   chunks * (ERRORS + 1) - 1 joined components have, by pigeonhole, a chunk with at most ERRORS
+   differences; so a class is listed, for every chunk, under each way of leaving ERRORS components
+   out.  Every pair within that distance meets under some key.
 4. Pairs first: each class with the least class under each of its keys (linear in the rows).  Pairs
    within the WIDE distance are confirmed on the full sets, and links joined to components.
    Then, under every key that still holds two components, the pairs of its most central class with
@@ -17,14 +17,18 @@
    within the WIDE distance, each under its first common key only.
    Pairs left out lie inside one component already, so no link between different texts is lost.
 
-At a similarity of 0.85 a pair exceeds a distance limit with a chance below 2e-5; above it with far
-less.  Limits and sizes do not depend on the data, and nothing is capped: a key with very many
-classes is cut into blocks of BLOCK, and every pair of blocks is compared in a task of its own.
+The chunks and the limits follow from the similarity asked for: a pair of just that similarity
+exceeds a limit with a chance below MISS, above it with far less.  They do not depend on the data,
+and nothing is capped: a key with very many classes is cut into blocks of BLOCK, and every pair of
+blocks is compared in a task of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +42,9 @@ from .textops import hash_tokens, mix64, slices, sorted_unique, text_buffers
 
 U = np.uint64
 WIDTH = 5
-WIDE, JOINED, CHUNKS, ERRORS = 512, 64, 12, 1
-#: Largest distances of a pair that is confirmed on full sets.
-JOINED_LIMIT, WIDE_LIMIT = CHUNKS * (ERRORS + 1) - 1, 114
+WIDE, JOINED, ERRORS = 512, 64, 1
+#: Chance that a pair of just the similarity asked for is missed: nine tenths of it in the joined components.
+MISS = 1e-5
 SIGNATURE_BYTES = 2 * JOINED + WIDE - JOINED
 BLOCK = 4096
 
@@ -48,11 +52,52 @@ _STEP = U(0xD6E8FEB86659FD93)
 _random = np.random.default_rng(5)
 _XOR = _random.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 _FACTOR = _random.integers(0, 1 << 63, WIDE, dtype=np.uint64) | U(1)
-_CHUNK_OF = np.repeat(np.arange(CHUNKS), [len(x) for x in np.array_split(np.arange(JOINED), CHUNKS)])
-_CHUNK_STARTS = np.flatnonzero(np.concatenate(([True], _CHUNK_OF[1:] != _CHUNK_OF[:-1])))
 _SALT = mix64(np.arange(1, JOINED + 1, dtype=np.uint64) * _STEP)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Chunks of the joined components, and the largest distances of a pair that is confirmed on full sets."""
+
+    chunks: int
+    wide: int
+
+    @property
+    def joined(self) -> int:
+        return self.chunks * (ERRORS + 1) - 1
+
+    @property
+    def chunk_of(self) -> np.ndarray:
+        return np.repeat(np.arange(self.chunks), [len(x) for x in np.array_split(np.arange(JOINED), self.chunks)])
+
+    @property
+    def chunk_starts(self) -> np.ndarray:
+        return np.flatnonzero(np.diff(self.chunk_of, prepend=-1))
+
+    def near(self, joined: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        return (joined <= self.joined) & (wide <= self.wide)
+
+
+def _beyond(n: int, p: float, limit: int) -> float:
+    """The chance of more than `limit` successes in n trials."""
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(limit + 1, n + 1))
+
+
+@cache
+def limits_of(percent: int) -> Limits:
+    """The least limits by which a pair of similarity percent / 100 is missed with a chance below MISS."""
+    p = 1 - percent / 100
+    # a chunk needs a component besides those left out
+    fit = [c for c in range(1, JOINED // (ERRORS + 1) + 1) if _beyond(JOINED, p, c * (ERRORS + 1) - 1) < 0.9 * MISS]
+    if not fit:
+        raise ValueError(f"{JOINED} joined components cannot find pairs of similarity {percent} / 100")
+    return Limits(fit[0], next(k for k in range(WIDE + 1) if _beyond(WIDE, p, k) < 0.1 * MISS))
+
+
+_CONTRACT = limits_of(85)
+CHUNKS, JOINED_LIMIT, WIDE_LIMIT = _CONTRACT.chunks, _CONTRACT.joined, _CONTRACT.wide
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """For each text the distinct hashes of its shingles of `width` words, ascending.
 
@@ -111,19 +156,19 @@ def differing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return joined, joined + (a[:, 2 * JOINED :] != b[:, 2 * JOINED :]).sum(1)
 
 
-def index_keys(signatures: np.ndarray) -> np.ndarray:
+def index_keys(signatures: np.ndarray, limits: Limits = _CONTRACT) -> np.ndarray:
     """The JOINED keys of each signature: component k left out of its chunk, for every k."""
     terms = mix64(_joined(signatures).astype(U) + _SALT)
-    sums = np.add.reduceat(terms, _CHUNK_STARTS, axis=1)
-    return mix64(sums[:, _CHUNK_OF] - terms + _SALT)
+    sums = np.add.reduceat(terms, limits.chunk_starts, axis=1)
+    return mix64(sums[:, limits.chunk_of] - terms + _SALT)
 
 
-def first_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def first_keys(a: np.ndarray, b: np.ndarray, limits: Limits = _CONTRACT) -> np.ndarray:
     """The first key that both signatures of each row have, JOINED if they have none."""
     differ = _joined(a) != _joined(b)
-    errors = np.add.reduceat(differ.astype(np.int64), _CHUNK_STARTS, axis=1)
+    errors = np.add.reduceat(differ.astype(np.int64), limits.chunk_starts, axis=1)[:, limits.chunk_of]
     # component k's key is common if its chunk has no error, or k is the chunk's only one
-    common = (errors[:, _CHUNK_OF] == 0) | ((errors[:, _CHUNK_OF] == 1) & differ)
+    common = (errors == 0) | ((errors == 1) & differ)
     return np.where(common.any(1), common.argmax(1), JOINED)
 
 
@@ -149,7 +194,7 @@ def classes(docs: DataFrame) -> DataFrame:
     return written(kept.mapInArrow(read, "doc_id long, n_shingles long, node long, signature binary"), "classes")
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
+def keyed(nodes: DataFrame, limits: Limits) -> DataFrame:
     """(node, slot, key) for every key of every signature, with the other columns but the signature."""
     rest = [c for c in nodes.columns if c != "signature"]
 
@@ -157,7 +202,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 s = b.slice(lo, 4096)
-                keys = index_keys(_matrix(s.column("signature"))).astype(np.int64).ravel()
+                keys = index_keys(_matrix(s.column("signature")), limits).astype(np.int64).ravel()
                 at = pa.array(np.repeat(np.arange(s.num_rows), JOINED))
                 slots = pa.array(np.tile(np.arange(JOINED, dtype=np.int32), s.num_rows))
                 yield pa.RecordBatch.from_arrays([*[s.column(c).take(at) for c in rest], slots, pa.array(keys)], [*rest, "slot", "key"])
@@ -165,13 +210,13 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(emit, ", ".join([*[f"{c} long" for c in rest], "slot int", "key long"]))
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def near_pairs(pairs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
     """Those of the pairs (a, b) whose signatures are within both limits."""
 
     def keep(batches):
         for b in batches:
             joined, wide = differing(_matrix(b.column("sa")), _matrix(b.column("sb")))
-            near = pa.array((joined <= JOINED_LIMIT) & (wide <= WIDE_LIMIT))
+            near = pa.array(limits.near(joined, wide))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
     with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
@@ -187,7 +232,7 @@ def central(signatures: np.ndarray) -> int:
     return int(total.argmin())
 
 
-def cross_pairs(members: DataFrame, stars: bool = False) -> DataFrame:
+def cross_pairs(members: DataFrame, limits: Limits, stars: bool = False) -> DataFrame:
     """Pairs of classes under one key and of different labels within the limits, each once; with
     `stars` only those with the most central class of the key (of each pair of blocks).
 
@@ -239,10 +284,10 @@ def cross_pairs(members: DataFrame, stars: bool = False) -> DataFrame:
                 for k in range(0, len(a), 1 << 15):
                     x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
                     joined, wide = differing(s[x], s[y])
-                    near = (joined <= JOINED_LIMIT) & (wide <= WIDE_LIMIT)
+                    near = limits.near(joined, wide)
                     x, y = x[near], y[near]
                     if not stars:
-                        first = first_keys(s[x], s[y]) == slot
+                        first = first_keys(s[x], s[y], limits) == slot
                         x, y = x[first], y[first]
                     x, y = node[x], node[y]
                     if len(x):
@@ -252,11 +297,11 @@ def cross_pairs(members: DataFrame, stars: bool = False) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, b long")
 
 
-def mixed_keys(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed_keys(nodes: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
     """(node, label, slot, key, n) of the keys that hold classes of more than one label."""
     by_key = W.partitionBy("key")
     open_nodes = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature")
-    listed = keyed(open_nodes).select("*", F.min("label").over(by_key).alias("_low"), F.max("label").over(by_key).alias("_high"), F.count("*").over(by_key).alias("n"))
+    listed = keyed(open_nodes, limits).select("*", F.min("label").over(by_key).alias("_low"), F.max("label").over(by_key).alias("_high"), F.count("*").over(by_key).alias("n"))
     return listed.filter("_low <> _high").drop("_low", "_high")
 
 
@@ -306,21 +351,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     other.  Rows that share a doc_id are compared as rows; a null doc_id is no component's least id,
     and a component without other ids is null and kept.  Empty tables give an empty result.
     """
+    limits = limits_of(percent)
     table = classes(docs)
     nodes = table.filter("node is not null").groupBy("node").agg(F.first("signature").alias("signature"))
     nodes = written(nodes, "nodes")
     least = F.min("node").over(W.partitionBy("key"))
-    stars = keyed(nodes).withColumn("a", least).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = keyed(nodes, limits).withColumn("a", least).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     stars = written(stars, "stars")
     met = written(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), "met")
     sets = full_sets(docs, table.select("doc_id", "node"), met)
 
-    links = written(confirmed(near_pairs(stars, nodes), sets, percent), "links")
+    links = written(confirmed(near_pairs(stars, nodes, limits), sets, percent), "links")
     labels = connected_components(links)
 
     for stars_only in (True, False):
-        mixed = mixed_keys(nodes.join(met, "node"), labels)
-        pairs = written(cross_pairs(mixed.join(nodes, "node"), stars_only), "cross")
+        mixed = mixed_keys(nodes.join(met, "node"), labels, limits)
+        pairs = written(cross_pairs(mixed.join(nodes, "node"), limits, stars_only), "cross")
         found = written(confirmed(pairs.distinct() if stars_only else pairs, sets, percent), "links")
         if not found.isEmpty():
             links = links.union(found)

@@ -124,3 +124,47 @@ def test_connected_components(spark):
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 0, 200: -4, 201: -4, -4: -4, 300: 300}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 90])
+def test_limits_follow_from_the_similarity(percent):
+    limits, p = nd.limits_of(percent), 1 - percent / 100
+    assert nd._beyond(nd.JOINED, p, limits.joined) + nd._beyond(nd.WIDE, p, limits.wide) < 1e-5
+    r = np.random.default_rng(percent)
+    a = r.integers(0, 256, (1, nd.SIGNATURE_BYTES), dtype=np.uint8)
+    for _ in range(100):
+        b = a.copy()
+        for k in r.choice(nd.JOINED, limits.joined, replace=False):
+            b[0, 2 * k] ^= 1
+        common = np.flatnonzero(nd.index_keys(a, limits)[0] == nd.index_keys(b, limits)[0])
+        assert len(common) and nd.first_keys(a, b, limits)[0] == common[0]
+
+
+def near_copies(pairs=250):
+    """Pairs of texts of 250 to 330 words that are 0.80 to 0.85 similar, each apart from the others."""
+    r, rows = random.Random(8), []
+    while len(rows) < 2 * pairs:
+        words = [f"p{len(rows)}w{k}" for k in range(r.randint(250, 330))]
+        new = words.copy()
+        for k in r.sample(range(5, len(words) - 5), r.randint(4, 7)):
+            new[k] = f"x{k}"
+        a, b = shingles(" ".join(words)), shingles(" ".join(new))
+        if 80 * len(a | b) <= 100 * len(a & b) < 82 * len(a | b):
+            rows += [" ".join(words), " ".join(new)]
+    return list(enumerate(rows))
+
+
+def test_links_just_above_another_similarity(spark):
+    rows = near_copies()
+    assert sum(kept for *_, kept in brute_pairs(rows)) == len(rows) // 2
+    check_pairs(spark, rows)
+
+
+def brute_pairs(rows):
+    """brute() for rows whose neighbours alone are similar."""
+    return [x for k in range(0, len(rows), 2) for x in brute(rows[k : k + 2], 80)]
+
+
+def check_pairs(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in nd.near_duplicates(frame, 80).collect()) == sorted(brute_pairs(rows))

@@ -64,3 +64,12 @@ def test_stages(spark, corpus, vocabulary):
 def test_run(spark, corpus):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "pii", "packing"]
     assert corpus_pipeline.run(spark, corpus[1]).count() > 200
+
+
+def test_near_copies_go(spark):
+    words = [f"w{k}" for k in range(300)]
+    new = [f"x{k}" if k % 25 == 12 and k < 150 else w for k, w in enumerate(words)]
+    a, b = ({tuple(x[k : k + 5]) for k in range(296)} for x in (words, new))
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(new)), (3, "another text")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
