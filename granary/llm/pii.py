@@ -1,7 +1,6 @@
 """Operator 4: personal data, with offset-preserving deobfuscation.
 
-Plain identifiers are found by the base patterns.  Where a text shows a disguise, transducers
-rewrite it to a normal form - homoglyphs and full-width or other digits to ASCII, invisible
+Plain identifiers are found by the base patterns.  Transducers rewrite every text to a normal form - homoglyphs and full-width or other digits to ASCII, invisible
 characters away, spelled digits to digits, "at" and "dot" in their many brackets to @ and . - and
 carry, for every character of the normal form, the source span it stands for.  The same patterns
 run over the normal form, and their spans are mapped back to the source.  A span found this way is
@@ -16,6 +15,7 @@ import bisect
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textops
 from .shared import with_field
-from .textops import cut_tokens, slices, span_hashes, text_buffers
+from .textops import slices, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -122,78 +121,43 @@ _AT, _DOT, _PLUS, _DASH = r"at|arroba|arobase|klammeraffe|chez", r"dot|punto|poi
 # Top-level domains that a bare "x at y dot z" must end in, so that prose stays prose.
 DOMAINS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu ch at be us ca au in jp cn ru br mx ar cl pt pl se no fi dk ie nz za name me tv app dev ai cloud online site xyz example test invalid".split())
 
-# Signs of a disguise, cheap to look for; only texts that show one are rewritten.
-_BRACKETS = re.compile(rf"(?i)[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]")
-_LOOSE_AT = re.compile(r"\s@|@\s")
 # letters that stand for digits count only inside a token of digits and such letters
-_MIXED = re.compile(r"[0-9][OolI](?![a-zA-Z])|[0-9][OolI][0-9]|(?<![a-zA-Z])[OolI][0-9]")
 _MIXED_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])(?=[0-9]*[OolI])[0-9OolI]+(?![A-Za-z0-9])|(?<=[0-9.][. -])[OolI]{1,4}(?=[. -][0-9OolI])|(?<=[0-9]\.)[OolI](?![A-Za-z0-9])")
 _STRANGE = re.compile(
     "[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "٠-٩۰-۹०-९⁰-₉①-⓿　！-～\U0001d400-\U0001d7ff²³¹]"
 )
 
 
-def _word_hashes(words) -> np.ndarray:
-    return np.sort(np.concatenate([hash_words(*text_buffers(pa.array([w])))[0] for w in words]))
-
-
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of lower-cased runs of letters, digits and non-ASCII characters, and the row of each."""
-    part, starts, ends, counts = cut_tokens(data, offsets, textops.NOT_WORD)
-    return span_hashes(part, starts, ends, textops._LOWER_VALUE), np.repeat(np.arange(len(counts)), counts)
-
-
-_DOT_HASHES, _DIGIT_HASHES = _word_hashes(_DOT.split("|")), _word_hashes(SPELLED)
-
-
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-def disguise_signs(data: np.ndarray, offsets: np.ndarray, texts: list[str | None]) -> list[bool]:
-    """Whether each text shows a strange character, a "dot" word, a bracketed or loose mark, two
-    spelled digits in a row, or letters among digits."""
-    words, rows = hash_words(data, offsets)
-    seen = np.zeros(len(texts), bool)
-    seen[rows[_among(words, _DOT_HASHES)]] = True
-    digit = _among(words, _DIGIT_HASHES)
-    pair = digit[1:] & digit[:-1] & (rows[1:] == rows[:-1])
-    seen[rows[1:][pair]] = True
-    return [
-        bool(s or t and ((not t.isascii() and _STRANGE.search(t)) or _BRACKETS.search(t) or _MIXED.search(t) or ("@" in t and _LOOSE_AT.search(t))))
-        for s, t in zip(seen.tolist(), texts, strict=True)
-    ]
-
-
 class Rewritten:
     """A text with, for every character, the source span it stands for and whether it was changed."""
 
     __slots__ = ("changed", "ends", "starts", "text")
 
-    def __init__(self, text: str, starts: list[int], ends: list[int], changed: list[bool]):
+    def __init__(self, text: str, starts: array, ends: array, changed: bytearray):
         self.text, self.starts, self.ends, self.changed = text, starts, ends, changed
 
     @classmethod
     def of(cls, text: str) -> Rewritten:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
+        places = array("q", np.arange(len(text) + 1).tobytes())
+        return cls(text, places[:-1], places[1:], bytearray(len(text)))
 
     def replace(self, edits: list[tuple[int, int, str]]) -> Rewritten:
         """Applies edits (start, end, new), ascending and apart; each new character stands for the
         whole source of the edit."""
         if not edits:
             return self
-        text, starts, ends, changed, done = [], [], [], [], 0
+        text, starts, ends, changed, done = [], array("q"), array("q"), bytearray(), 0
         for lo, hi, new in edits:
             text.append(self.text[done:lo])
             starts += self.starts[done:lo]
             ends += self.ends[done:lo]
             changed += self.changed[done:lo]
             if not new and changed:
-                changed[-1] = True  # what is left out shows at its neighbour
+                changed[-1] = 1  # what is left out shows at its neighbour
             text.append(new)
-            starts += [self.starts[lo]] * len(new)
-            ends += [self.ends[hi - 1]] * len(new)
-            changed += [True] * len(new)
+            starts += self.starts[lo : lo + 1] * len(new)
+            ends += self.ends[hi - 1 : hi] * len(new)
+            changed += b"\1" * len(new)
             done = hi
         text.append(self.text[done:])
         return Rewritten("".join(text), starts + self.starts[done:], ends + self.ends[done:], changed + self.changed[done:])
@@ -229,7 +193,7 @@ def join_digits(r: Rewritten) -> Rewritten:
     """Second transducer: spelled digits to digits, then single digits of a spelled run side by side."""
     edits, repeat, opened = [], 1, 0
     for m in _SPELLED.finditer(r.text):
-        word = m[0].lower()
+        word = m[0].lower().replace("ſ", "s").replace("i̇", "i")  # (?i) takes these for s and i
         if word in ("double", "triple"):
             repeat, opened = 2 + (word == "triple"), m.start()
             continue
@@ -244,24 +208,47 @@ def join_digits(r: Rewritten) -> Rewritten:
     return r.replace(gaps)
 
 
-_MARK_RULES = (
+_BRACKET_RULES = (
     (re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*"), "@"),
     (re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*"), "."),
-    (re.compile(rf"(?i)(?<=\w)[\s_*-]+(?:{_DOT})[\s_*-]+(?=\w)"), "."),
-    # a bare "at" counts only before a domain whose dot was disguised, see bare_at()
+)
+_BARE_DOT = re.compile(rf"(?i)(?<=[\s_*-])(?:{_DOT})[\s_*-]+(?=\w)")
+_WORD_RULES = (
+    # a bare "at" counts only before a domain whose dot was disguised, see restore_marks()
     (re.compile(rf"(?i)(?<=[0-9])[\s]*(?:{_DASH})[\s]*(?=[0-9])"), "-"),
     (re.compile(rf"(?i)\b(?:{_PLUS})\s+(?=[0-9])"), "+"),
 )
 _BARE_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\s_*-]+(?:{_AT})[\s_*-]+(?=[A-Za-z0-9-]+(\.)(?:[A-Za-z0-9-]+\.)*([A-Za-z]+))")
+_DOT_MARK = re.compile(r"\.")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?: +@ *| *@ +)(?=[A-Za-z0-9-]+ ?\. ?[A-Za-z]{2,})")
 _SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9]) \. (?=[A-Za-z0-9])| \.(?=[A-Za-z]{2,}\b)")
 
 
+def bare_dots(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the "dot" words that stand between words: (?<=\\w)[\\s_*-]+ before each is looked for
+    backwards, as a search for it takes quadratic time on long rules of underscores."""
+    edits, done = [], 0
+    for m in _BARE_DOT.finditer(text):
+        at = m.start()
+        while at > done and (text[at - 1] in "_*-" or text[at - 1].isspace()):
+            at -= 1
+        if not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+            at = text.find("_", at, m.start()) + 1 or m.start()
+        if at < m.start():
+            edits.append((at, m.end(), "."))
+            done = m.end()
+    return edits
+
+
 def restore_marks(r: Rewritten) -> Rewritten:
     """Third transducer: at, dot, dash and plus in words or brackets."""
-    for rule, mark in _MARK_RULES:
+    for rule, mark in _BRACKET_RULES:
+        r = r.replace([(m.start(), m.end(), mark) for m in rule.finditer(r.text)])
+    r = r.replace(bare_dots(r.text))
+    for rule, mark in _WORD_RULES:
         r = r.replace([(m.start(), m.end(), mark) for m in rule.finditer(r.text)])
-    r = r.replace([(m.start(), m.end(), "@") for m in _BARE_AT.finditer(r.text) if r.changed[m.start(1)] and m[2].lower() in DOMAINS])
+    if any(r.changed[m.start()] for m in _DOT_MARK.finditer(r.text)):
+        r = r.replace([(m.start(), m.end(), "@") for m in _BARE_AT.finditer(r.text) if r.changed[m.start(1)] and m[2].lower() in DOMAINS])
     spaced = [(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(r.text)]
     if spaced:
         r = r.replace(spaced)
@@ -281,6 +268,8 @@ def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Sp
     """Identifiers that show only in the normal form, as source spans; none touches a base span."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     r = normalised(text)
+    if 1 not in r.changed:
+        return out
     taken = sorted(s for spans in base.values() for s in spans)
     for kind, find in (("email", emails), ("card", cards), ("ip", ips), ("phone", phones)):
         for lo, hi in find(r.text):
@@ -297,12 +286,11 @@ def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Sp
 
 def find_spans(texts: pa.Array) -> Iterator[tuple[str | None, dict[str, list[Span]], dict[str, list[Span]]]]:
     """Each text with its base spans and its added spans; null and empty texts have none."""
-    data, offsets = text_buffers(texts)
+    _, offsets = text_buffers(texts)
     for lo, hi in slices(offsets):
-        part = texts.slice(lo, hi - lo).to_pylist()
-        for text, sign in zip(part, disguise_signs(data, offsets[lo : hi + 1], part), strict=True):
+        for text in texts.slice(lo, hi - lo).to_pylist():
             base = base_spans(text or "")
-            yield text, base, disguised_spans(text, base) if sign else {k: [] for k in KINDS}
+            yield text, base, disguised_spans(text or "", base)
 
 
 def listed(spans: dict[str, list[Span]]) -> str:

@@ -103,3 +103,47 @@ def test_spans_map_back():
         at, dot = r.choice([" [at] ", "(at)", " {at} ", " <at> "]), r.choice([" [dot] ", "(dot)", " dot ", " (punto) "])
         text = f"{before}{name}{at}{name}{dot}com {after}"
         assert both(text)[1] == {"email": [f"{name}{at}{name}{dot}com"]}
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("ring plus 49 170 1234567", "phone", "plus 49 170 1234567"),
+        ("ring plus 49 dash 170 dash 1234567", "phone", "plus 49 dash 170 dash 1234567"),
+        ("ring +1 555 oh 123 4567", "phone", "+1 555 oh 123 4567"),
+        ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("card 4111 double one double one triple one 1 triple one 1", "card", "4111 double one double one triple one 1 triple one 1"),
+        ("host 10.0.zero.7", "ip", "10.0.zero.7"),
+        ("john\u00a0dot\u00a0doe@example\u00a0dot\u00a0com", "email", "john\u00a0dot\u00a0doe@example\u00a0dot\u00a0com"),
+    ],
+)
+def test_single_signs(text, kind, found):
+    for more in ("", " point", " a period", " [at] "):
+        assert both(text + more)[1] == {kind: [found]}
+
+
+MIXED = ["plus", "dash", "oh", "one", "FÜNF", "double", "triple", "dot", "at", "[at]", "@", ".", "-", "+", "4111", "10", "0", "555", "1234567", "me", "com", "l", "O", "ſix", "nİne", "«", "\u00a0", "_"]
+
+
+def test_spans_depend_on_no_other_word():
+    r = random.Random(5)
+    for _ in range(4000):
+        text = "".join(r.choice(MIXED) + r.choice(["", " ", " ", "."]) for _ in range(r.randint(2, 14)))
+        _, base, more = next(pii.find_spans(pa.array([text], pa.string())))
+        _, *gated = next(pii.find_spans(pa.array([text + " , point ,"], pa.string())))
+        assert (base, more) == tuple(gated) and more == pii.disguised_spans(text, base)
+
+
+def test_bare_dots_equal_the_plain_pattern():
+    plain = re.compile(rf"(?i)(?<=\w)[\s_*-]+(?:{pii._DOT})[\s_*-]+(?=\w)")
+    r = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(r.choice(["dot", "Point", "a", "é", " ", "_", "-", "*", "\u00a0", "!", "."]) for _ in range(r.randint(1, 14)))
+        assert pii.bare_dots(text) == [(*m.span(), ".") for m in plain.finditer(text)]
+
+
+def test_rules_and_lists_take_linear_time():
+    began = time.time()
+    for t in ("_" * 300_000, "x-" + "at-" * 100_000, "look at " + "-" * 300_000, "one " * 100_000 + "x", "double " * 50_000, "[ " * 150_000, "\u00a0" * 300_000 + "[", "_dot" * 50_000):
+        both(t)
+    assert time.time() - began < 60
