@@ -108,9 +108,10 @@ def _merge(ids: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray]) -
     return ids[at], [c[order][at] for c in columns], [np.add.reduceat(s[order], at) for s in sums]
 
 
-def _bucket_edges(buckets: int) -> np.ndarray:
-    """First gram id of each bucket but the first."""
-    return np.array([(b << 64) // buckets for b in range(1, buckets)], U)
+def _bucket_edges(level: int, buckets: int) -> np.ndarray:
+    """First gram id of each bucket but the first; where grams have contexts, no edge parts those of one."""
+    free = 40 if level > 1 else 0
+    return np.array([(b << 64) // buckets >> free << free for b in range(1, buckets)], U)
 
 
 _SCHEMA = "bucket int, level int, block binary, meta string"
@@ -150,7 +151,7 @@ def _unpack(block: pa.Buffer, columns: int, sums: int) -> tuple[list[np.ndarray]
 
 
 def _send(level: int, buckets: int, ids: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray]):
-    cuts = [0, *np.searchsorted(ids, _bucket_edges(buckets)).tolist(), len(ids)]
+    cuts = [0, *np.searchsorted(ids, _bucket_edges(level, buckets)).tolist(), len(ids)]
     for b in range(buckets):
         lo, hi = cuts[b], cuts[b + 1]
         if hi > lo:
@@ -246,9 +247,9 @@ class KneserNey:
             _opened[key] = SortedFile(self.folder, self.files[level][bucket])
         return _opened[key]
 
-    def _in_buckets(self, keys: np.ndarray, ids: np.ndarray):
+    def _in_buckets(self, level: int, keys: np.ndarray, ids: np.ndarray):
         """(bucket, positions) of ascending ids; keys tell the bucket."""
-        cuts = [0, *np.searchsorted(keys, _bucket_edges(self.buckets)).tolist(), len(keys)]
+        cuts = [0, *np.searchsorted(keys, _bucket_edges(level, self.buckets)).tolist(), len(keys)]
         for b in range(self.buckets):
             if cuts[b + 1] > cuts[b]:
                 yield b, slice(cuts[b], cuts[b + 1]), ids[cuts[b] : cuts[b + 1]]
@@ -263,7 +264,7 @@ class KneserNey:
         order = np.argsort(word)
         ids = word[order]
         counts, raw = np.zeros(len(ids), U), np.zeros(len(ids), U)
-        for b, at, part in self._in_buckets(ids, ids):
+        for b, at, part in self._in_buckets(1, ids, ids):
             file = self._open(1, b)
             counts[at], place, there = file.find(part)
             raw[at] = np.where(there, file.raw[place], 0) if len(file.raw) else 0
@@ -281,7 +282,7 @@ class KneserNey:
             order = np.argsort(ids)
             ids = ids[order]
             counts = np.zeros(len(ids), U)
-            for b, at, part in self._in_buckets(ids, ids):
+            for b, at, part in self._in_buckets(level, ids, ids):
                 counts[at] = self._open(level, b).find(part)[0]
             back = np.empty(len(ids), U)
             back[order] = counts
@@ -301,7 +302,7 @@ class KneserNey:
         keys = mix64(unique)
         by_key = np.argsort(keys)
         found = np.zeros((4, len(unique)))
-        for b, at, part in self._in_buckets(keys[by_key], unique[by_key]):
+        for b, at, part in self._in_buckets(level, keys[by_key], unique[by_key]):
             inner = np.argsort(part)
             stats = np.empty((4, len(part)))
             stats[:, inner] = self._open(level, b).statistics(part[inner])

@@ -106,3 +106,17 @@ def test_empty_tables_nulls_and_other_columns(spark):
     kept = ngram_lm.score(odd.withColumn("n chars", odd.doc_id), ngram_lm.train(odd.filter("false")))
     assert kept.columns == ["doc_id", "n chars", "n_tokens", "n_known", "base_score", "score", "perplexity"]
     assert all(r["n_known"] == 0 and r["score"] == 0 for r in kept.collect())
+
+
+# words whose contexts begin with the same 24 bits as an edge of 3 or 7 equal ranges of ids
+ON_EDGES = {3: ["e7507843", "e17647843"], 7: ["e2388496", "e3003550", "e4693216", "e13516816", "e16309987", "e17011343"]}
+
+
+@pytest.mark.parametrize("buckets", [3, 7])
+def test_contexts_on_edges_stay_whole(spark, buckets):
+    r = random.Random(buckets)
+    texts = [" ".join(x for _ in range(20) for x in (r.choice(ON_EDGES[buckets]), f"v{r.randint(0, 60)}")) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs, 2, buckets)).collect()}
+    known = Brute(texts, 2)
+    assert got == pytest.approx({i: known.log10(t) for i, t in enumerate(texts)}, rel=1e-9)
