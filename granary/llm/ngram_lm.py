@@ -36,7 +36,7 @@ from .textops import hash_tokens, mix64, slices, text_buffers
 
 U = np.uint64
 #: Order of the production model.
-ORDER = 2
+ORDER = 3
 #: Tokens counted in memory before a map task sends its blocks.
 FLUSH_TOKENS = 1 << 22
 #: Share of rows whose contexts are looked at to find frequent ones, in 1 / SAMPLE.
@@ -123,14 +123,15 @@ def _row(bucket: int, level: int, block: bytes | None, meta: str | None = None)
 
 
 def _pack(columns: list[np.ndarray], sums: list[np.ndarray]) -> bytes:
-    """Runs of equal first columns are kept once; sums are small and compress well."""
+    """The contexts of a run of equal first columns, which tell the shorter ones, are kept once; sums
+    are small and compress well."""
     n = len(columns[0])
-    first = columns[0]
+    first, runs_of, rest = columns[0], columns[:-1] or columns, columns[1:][-1:]
     at = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if n and len(columns) > 1 else np.arange(n)
     runs = np.diff(np.append(at, n)).astype(np.uint32)
     wide = any(len(s) and s.max() >= 1 << 32 for s in sums)
     head = np.array([n, len(at), wide], U)
-    return b"".join(x.tobytes() for x in (head, first[at], *columns[1:], runs, *[s.astype(U if wide else np.uint32) for s in sums]))
+    return b"".join(x.tobytes() for x in (head, *[c[at] for c in runs_of], *rest, runs, *[s.astype(U if wide else np.uint32) for s in sums]))
 
 
 def _unpack(block: pa.Buffer, columns: int, sums: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -144,10 +145,10 @@ def _unpack(block: pa.Buffer, columns: int, sums: int) -> tuple[list[np.ndarray]
         at += size
         return np.frombuffer(data[at - size : at].tobytes(), kind)
 
-    first = take(k, U)
-    rest = [take(n, U) for _ in range(columns - 1)]
+    runs_of = [take(k, U) for _ in range(max(1, columns - 1))]
+    rest = [take(n, U) for _ in range(min(1, columns - 1))]
     runs = take(k, np.uint32)
-    return [np.repeat(first, runs), *rest], [take(n, U if wide else np.uint32).astype(U) for _ in range(sums)]
+    return [*[np.repeat(c, runs) for c in runs_of], *rest], [take(n, U if wide else np.uint32).astype(U) for _ in range(sums)]
 
 
 def _send(level: int, buckets: int, ids: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray]):
@@ -161,8 +162,15 @@ def _send(level: int, buckets: int, ids: np.ndarray, columns: list[np.ndarray],
 class SortedFile:
     """One bucket of one order: sorted ids with counts, and sorted contexts with their statistics."""
 
-    #: (name, kind, length field) of the arrays in the file, widest kinds first.
-    ARRAYS = (("ids", "<u8", "n"), ("raw", "<u8", "r"), ("contexts", "<u8", "k"), ("totals", "<u8", "k"), ("large", "<u8", "o"), ("n1", "<u4", "k"), ("n2", "<u4", "k"), ("n3", "<u4", "k"), ("large_at", "<u4", "o"), ("counts", "u1", "n"))
+    STATISTICS = ("totals", "n1", "n2", "n3")
+    #: (name, kind, length field) of the arrays in the file, widest kinds first.  Counts and statistics
+    #: take a byte; those of 255 and more stand apart.
+    ARRAYS = (
+        *(("ids", "<u8", "n"), ("raw", "<u8", "r"), ("contexts", "<u8", "k"), ("large", "<u8", "o")),
+        *((f"wide_{s}", "<u8", "w") for s in STATISTICS),
+        *(("large_at", "<u4", "o"), ("wide_at", "<u4", "w"), ("counts", "u1", "n")),
+        *((s, "u1", "k") for s in STATISTICS),
+    )
 
     @classmethod
     def write(cls, folder: str, name: str, **arrays: np.ndarray) -> str:
@@ -172,15 +180,19 @@ class SortedFile:
         counts = arrays.pop("counts")
         large = np.flatnonzero(counts >= 255)
         arrays |= {"counts": np.minimum(counts, 255), "large_at": large, "large": counts[large]}
-        sizes = {"n": len(counts), "r": len(arrays["raw"]), "k": len(arrays["contexts"]), "o": len(large)}
+        wide = np.flatnonzero(arrays["totals"] >= 255)  # no other statistic is larger
+        for s in cls.STATISTICS:
+            arrays |= {f"wide_{s}": arrays[s][wide], s: np.minimum(arrays[s], 255)}
+        arrays["wide_at"] = wide
+        sizes = {"n": len(counts), "r": len(arrays["raw"]), "k": len(arrays["contexts"]), "o": len(large), "w": len(wide)}
         with fs.open_output_stream(f"{root}/{name}") as out:
             for key, kind, _ in cls.ARRAYS:
                 out.write(arrays[key].astype(kind).tobytes())
-        return f"{name} {sizes['n']} {sizes['r']} {sizes['k']} {sizes['o']}"
+        return " ".join(map(str, (name, *sizes.values())))
 
     def __init__(self, folder: str, text: str):
         name, *sizes = text.split()
-        lengths = dict(zip("nrko", map(int, sizes), strict=True))
+        lengths = dict(zip("nrkow", map(int, sizes), strict=True))
         data = np.memmap(_local(folder, name), np.uint8, "r") if any(lengths.values()) else np.zeros(0, np.uint8)
         at = 0
         for key, kind, field_ in self.ARRAYS:
@@ -206,8 +218,12 @@ class SortedFile:
         if len(self.contexts):
             at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
             there = self.contexts[at] == contexts
-            for row, values in zip(out, (self.totals, self.n1, self.n2, self.n3), strict=True):
-                row[there] = values[at[there]]
+            there, at = np.flatnonzero(there), at[there]
+            wide = np.minimum(np.searchsorted(self.wide_at, at), max(0, len(self.wide_at) - 1))
+            apart = self.wide_at[wide] == at if len(self.wide_at) else np.zeros(len(at), bool)
+            for row, s in zip(out, self.STATISTICS, strict=True):
+                row[there] = getattr(self, s)[at]
+                row[there[apart]] = getattr(self, f"wide_{s}")[wide[apart]]
         return out
 
 
@@ -445,7 +461,7 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
     rows = written(blocks, "manifest").select("bucket", "level", "meta").collect()  # one for each bucket and order
 
     model = KneserNey(folder, order, buckets, hot=hot)
-    none = "- 0 0 0 0"
+    none = "- 0 0 0 0 0"
     for level in range(1, order + 1):
         model.files[level] = [none] * buckets
         sums, partials = np.zeros(8, np.int64), {}

@@ -120,3 +120,21 @@ def test_contexts_on_edges_stay_whole(spark, buckets):
     got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs, 2, buckets)).collect()}
     known = Brute(texts, 2)
     assert got == pytest.approx({i: known.log10(t) for i, t in enumerate(texts)}, rel=1e-9)
+
+
+def test_production_model_tells_longer_contexts_apart(spark):
+    """Texts of the same word pairs, of which only one's triples occur in the corpus."""
+    rows = [(i, "a b c" if i % 2 else "d b e") for i in range(40)]
+    rows += [(101, "a b c"), (102, "a b e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs.filter("doc_id < 100"))).collect()}
+    assert got[101] > got[102] + 0.5
+
+
+def test_statistics_of_255_and_more(spark):
+    texts = [" ".join(f"the w{i * 300 + k} x" for k in range(300)) for i in range(3)] + ["the x w1 the w2 x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for order in (2, 3):
+        known = Brute(texts, order)
+        got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs, order)).collect()}
+        assert got == pytest.approx({i: known.log10(t) for i, t in enumerate(texts)}, rel=1e-9)
