@@ -172,8 +172,14 @@ def first_keys(a: np.ndarray, b: np.ndarray, limits: Limits = _CONTRACT) -> np.n
     return np.where(common.any(1), common.argmax(1), JOINED)
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and mark, a hash of the text by which rows without an id are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """Written: doc_id, n_shingles, node (null without shingles) and signature of every document."""
+    """Written: doc_id, mark (see marked()), n_shingles, node (null without shingles) and signature of
+    every document."""
 
     def read(batches):
         for b in batches:
@@ -183,15 +189,15 @@ def classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(lo, hi - lo),
+                        b.column("mark").slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", "signature"],
+                    ["doc_id", "mark", "n_shingles", "node", "signature"],
                 )
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(kept.mapInArrow(read, "doc_id long, n_shingles long, node long, signature binary"), "classes")
+    return written(marked(docs).mapInArrow(read, "doc_id long, mark long, n_shingles long, node long, signature binary"), "classes")
 
 
 def keyed(nodes: DataFrame, limits: Limits) -> DataFrame:
@@ -306,9 +312,13 @@ def mixed_keys(nodes: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame
 
 
 def full_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Written: (node, shingles) of the given classes, made from one document of each."""
-    chosen = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    """Written: (node, shingles) of the given classes, made from one document of each, one with an
+    id if there is any."""
+    chosen = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
+    rows = marked(docs)
+    texts = rows.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    nameless = rows.filter("doc_id is null").dropDuplicates(["mark"])
+    texts = texts.union(nameless.join(chosen.filter("doc_id is null").select("mark"), "mark", "left_semi").select("text"))
 
     def read(batches):
         for b in batches:
@@ -359,7 +369,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     stars = keyed(nodes, limits).withColumn("a", least).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     stars = written(stars, "stars")
     met = written(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), "met")
-    sets = full_sets(docs, table.select("doc_id", "node"), met)
+    sets = full_sets(docs, table.select("doc_id", "mark", "node"), met)
 
     links = written(confirmed(near_pairs(stars, nodes, limits), sets, percent), "links")
     labels = connected_components(links)

@@ -168,3 +168,16 @@ def brute_pairs(rows):
 def check_pairs(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in nd.near_duplicates(frame, 80).collect()) == sorted(brute_pairs(rows))
+
+
+def test_links_through_rows_without_id(spark):
+    """A - (null id) - B, where A and B are not similar enough themselves."""
+    rows = []
+    for c in range(3):
+        words = [f"c{c}w{k}" for k in range(200)]
+        middle = [f"m{k}" if k in (20, 60) else w for k, w in enumerate(words)]
+        end = [f"e{k}" if k in (100, 140) else w for k, w in enumerate(middle)]
+        rows += [(10 * c + 5, " ".join(words)), (None, " ".join(middle)), (None, " ".join(middle)), (10 * c + 1, " ".join(end))]
+    assert {head for _, _, head, _ in brute(rows)} == {1, 11, 21}
+    assert len({head for _, _, head, _ in brute([r for r in rows if r[0] is not None])}) == 6
+    check(spark, rows)
