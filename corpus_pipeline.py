@@ -26,10 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group of SIMILAR ones; documents without an id are all kept."""
-    kept = near_dedup.near_duplicates(docs, SIMILAR).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter("doc_id is null"))
+    """Keeps of each group of SIMILAR documents the row of least doc_id; of rows that share it one text's,
+    once.  Rows without an id or without words are all kept."""
+    rows = near_dedup.components(docs, SIMILAR).filter("doc_id is not null and label is not null")
+    kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("head")).select("head.doc_id", F.col("head.mark").alias("_mark"))
+    lone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.filter(~lone).withColumn("_mark", F.xxhash64("text")).join(kept, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(lone))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

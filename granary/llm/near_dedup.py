@@ -353,14 +353,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links of
-    similarity at least `percent` / 100, itself included), kept (doc_id is its component_id).
-
-    Documents without words (or text) have no shingles and are linked with nothing, not even each
-    other.  Rows that share a doc_id are compared as rows; a null doc_id is no component's least id,
-    and a component without other ids is null and kept.  Empty tables give an empty result.
-    """
+def components(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per row: doc_id, mark (see marked()), n_shingles and label, which the rows of a component share
+    and rows without shingles lack."""
     limits = limits_of(percent)
     table = classes(docs)
     nodes = table.filter("node is not null").groupBy("node").agg(F.first("signature").alias("signature"))
@@ -382,7 +377,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             links = links.union(found)
             labels = connected_components(links)
 
-    placed = table.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    placed = table.select("doc_id", "mark", "n_shingles", "node").join(labels, "node", "left")
+    return placed.select("doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links of
+    similarity at least `percent` / 100, itself included), kept (doc_id is its component_id).
+
+    Documents without words (or text) have no shingles and are linked with nothing, not even each
+    other.  Rows that share a doc_id are compared as rows; a null doc_id is no component's least id,
+    and a component without other ids is null and kept.  Empty tables give an empty result.
+    """
+    placed = components(docs, percent)
     heads = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
     out = placed.join(heads, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("head")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

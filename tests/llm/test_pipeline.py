@@ -73,3 +73,11 @@ def test_near_copies_go(spark):
     assert 0.80 <= len(a & b) / len(a | b) < 0.85
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(new)), (3, "another text")], "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "one text of its own here"), (1, "another text that is not like it"), (1, "Another text that is  not like it"), (1, "one text of its own here"), (2, "one text of its own here"), (0, "yet another text"), (3, "yet another text"), (4, " "), (4, None), (None, "one text of its own here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], " ".join(r["text"].lower().split()) if r["text"] else r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = [(0, "yet another text"), (1, "another text that is not like it"), (1, "one text of its own here"), (4, ""), (4, None), (None, "one text of its own here")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
