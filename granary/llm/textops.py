@@ -12,38 +12,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 #: Bytes of text handled at once by the vectorised passes.
 SLICE_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER_VALUE = _VALUE[_LOWER]
+#: The low k bytes of a lane.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Bytes of a span that are hashed lane by lane; longer ones go to xxh3.
+_LANES = 32
 #: Everything in ASCII but letters and digits.
 NOT_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
-_powers = np.ones(1, U), np.ones(1, U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the hash base and of its inverse modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = (n + (1 << 16) - 1) >> 16 << 16
-        made = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        _powers = made[0], made[1]
-    return _powers[0][:n], _powers[1][:n]
-
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 constants)."""
@@ -55,12 +41,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _VALUE) -> np.ndarray:
-    """64-bit hashes of data[starts:ends] for many spans of one byte array."""
-    pow_, inv = powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, U)
-    np.cumsum(table[data] * pow_[: len(data)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * inv[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[starts:ends] for many spans of one byte array, with A-Z lower-cased if asked.
+
+    Spans are read eight bytes at a time, and every lane goes through the finaliser before the next
+    one, so no linear relation between texts carries over; spans of one length up to eight bytes
+    never collide.  Each `seed` gives another function.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    sizes = ends - starts
+    out = mix64(sizes.astype(U) * _STEP + U(seed))
+    out = mix64(out ^ (lanes[starts] & _LOW[np.minimum(sizes, 8)]))
+    at = np.flatnonzero(sizes > 8)
+    for k in range(8, _LANES, 8):
+        if not len(at):
+            break
+        rest = sizes[at] - k
+        out[at] = mix64(out[at] * _STEP ^ (lanes[starts[at] + k] & _LOW[np.minimum(rest, 8)]))
+        at = at[rest > 8]
+    for i in at.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(padded.data[starts[i] : ends[i]], seed)
+    return out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +109,13 @@ def cut_tokens(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _S
     return part, starts, ends, np.diff(np.searchsorted(starts, at))
 
 
-def hash_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_tokens(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of consecutive texts, and the number of words of each text.
 
     A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z are lower-cased.
     """
     part, starts, ends, counts = cut_tokens(data, offsets)
-    return span_hashes(part, starts, ends, _LOWER_VALUE), counts
+    return span_hashes(part, starts, ends, True, seed), counts
 
 
 def sorted_unique(x: np.ndarray) -> np.ndarray:

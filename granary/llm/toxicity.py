@@ -32,10 +32,10 @@ def term_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(row, bucket) of the distinct terms of consecutive texts, ordered by row."""
     part, starts, ends, counts = cut_tokens(data, offsets, textops.NOT_WORD)
     rows = np.repeat(np.arange(len(counts)), counts)
-    found = [rows.astype(U) << U(20) | span_hashes(part, starts, ends, textops._LOWER_VALUE) >> U(44)]
+    found = [rows.astype(U) << U(20) | span_hashes(part, starts, ends, True) >> U(44)]
     for n in PREFIXES:
         long = ends - starts > n
-        marked = span_hashes(part, starts[long], starts[long] + n, textops._LOWER_VALUE) ^ U(n << 44)
+        marked = span_hashes(part, starts[long], starts[long] + n, True) ^ U(n << 44)
         found.append(rows[long].astype(U) << U(20) | marked >> U(44))
     ids = sorted_unique(np.concatenate(found))
     return (ids >> U(20)).astype(np.int64), (ids & U(BUCKETS - 1)).astype(np.int32)
