@@ -9,10 +9,12 @@
    chunks * (ERRORS + 1) - 1 joined components have, by pigeonhole, a chunk with at most ERRORS
    differences; so a class is listed, for every chunk, under each way of leaving ERRORS components
    out.  Every pair within that distance meets under some key.
-4. Pairs first: each class with the least class under each of its keys (linear in the rows).  Pairs
-   within the WIDE distance are confirmed on the full sets, and links joined to components.
-   Then, under every key that still holds two components, the pairs of its most central class with
-   those of other components, which joins what clusters around an unseen original.
+4. Stars first: under the first key of each chunk, every class shares that key's least class; the
+   NEAREST least ones that it shares most keys with are its candidates (linear in the classes).
+   Pairs within the WIDE distance are confirmed on the full sets, and links joined to components.
+   Then, under every key (of all slots) that holds two components, the pairs of its most central
+   class with those of other components, which joins what clusters around an unseen original; then
+   the pairs of each class with the least different one of another component.
    Pairs last: under every key that holds two components even now, all pairs across components
    within the WIDE distance, each under its first common key only.
    Pairs left out lie inside one component already, so no link between different texts is lost.
@@ -20,15 +22,18 @@
 The chunks and the limits follow from the similarity asked for: a pair of just that similarity
 exceeds a limit with a chance below MISS, above it with far less.  They do not depend on the data,
 and nothing is capped: a key with very many classes is cut into blocks of BLOCK, and every pair of
-blocks is compared in a task of its own.
+blocks is compared in a task of its own.  What all rows of a key, class or component need is computed
+by aggregates and joined back, so no task holds a whole key.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import written
+from .components import connected_components, spread_join
+from .shared import drop_written, written, written_union
 from .textops import hash_tokens, mix64, slices, sorted_unique, text_buffers
 
 U = np.uint64
@@ -47,6 +52,7 @@ WIDE, JOINED, ERRORS = 512, 64, 1
 MISS = 1e-5
 SIGNATURE_BYTES = 2 * JOINED + WIDE - JOINED
 BLOCK = 4096
+NEAREST = 2
 
 _STEP = U(0xD6E8FEB86659FD93)
 _random = np.random.default_rng(5)
@@ -123,11 +129,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> l
     return out
 
 
-def class_id(shingles: np.ndarray) -> int:
-    """A 64-bit id of a set, as a signed long; equal for equal sets."""
-    both = np.array([np.add.reduce(shingles * _STEP ^ shingles >> U(7)), np.bitwise_xor.reduce(shingles) + U(len(shingles))], U)
-    mixed = mix64(both)
-    return int(mix64(mixed[:1] * _STEP + mixed[1:]).astype(np.int64)[0])
+def class_ids(shingles: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Two independent 64-bit ids of a set, as signed longs; equal for equal sets."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -177,45 +182,68 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """Written: doc_id, mark (see marked()), n_shingles, node (null without shingles) and signature of
-    every document."""
+def classes(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """Written: doc_id, mark (see marked()), n_shingles, node and proof (the class's two ids, null
+    without shingles) and signature of every document."""
 
     def read(batches):
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
             for lo, hi in slices(offsets):
                 sets = shingle_sets(data, offsets[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").slice(lo, hi - lo),
-                        b.column("mark").slice(lo, hi - lo),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    ["doc_id", "mark", "n_shingles", "node", "signature"],
-                )
-
-    return written(marked(docs).mapInArrow(read, "doc_id long, mark long, n_shingles long, node long, signature binary"), "classes")
-
-
-def keyed(nodes: DataFrame, limits: Limits) -> DataFrame:
-    """(node, slot, key) for every key of every signature, with the other columns but the signature."""
+                ids = [class_ids(s, salt) if len(s) else (None, None) for s in sets]
+                columns = [
+                    b.column("doc_id").slice(lo, hi - lo),
+                    b.column("mark").slice(lo, hi - lo),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    *[pa.array(c, pa.int64()) for c in zip(*ids, strict=True)],
+                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "node", "proof", "signature"])
+
+    return written(marked(docs).mapInArrow(read, "doc_id long, mark long, n_shingles long, node long, proof long, signature binary"), "classes")
+
+
+def distinct_classes(docs: DataFrame) -> tuple[int, DataFrame, DataFrame]:
+    """Written: classes() and one row for each node, with its signature, under the first salt by which
+    no node stands for two sets."""
+    for salt in count():
+        table = classes(docs, salt)
+        by_node = table.filter("node is not null").groupBy("node")
+        nodes = written(by_node.agg(F.first("signature").alias("signature"), (F.min("proof") != F.max("proof")).alias("mixed")), "nodes")
+        if nodes.filter("mixed").isEmpty():
+            return salt, table, nodes
+        drop_written(table, nodes)
+
+
+def keyed(nodes: DataFrame, limits: Limits, slots: np.ndarray | None = None) -> DataFrame:
+    """(node, slot, key) for the keys of every signature (of the given slots), with the other columns
+    but the signature."""
     rest = [c for c in nodes.columns if c != "signature"]
+    used = np.arange(JOINED) if slots is None else slots
 
     def emit(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 s = b.slice(lo, 4096)
-                keys = index_keys(_matrix(s.column("signature")), limits).astype(np.int64).ravel()
-                at = pa.array(np.repeat(np.arange(s.num_rows), JOINED))
-                slots = pa.array(np.tile(np.arange(JOINED, dtype=np.int32), s.num_rows))
-                yield pa.RecordBatch.from_arrays([*[s.column(c).take(at) for c in rest], slots, pa.array(keys)], [*rest, "slot", "key"])
+                keys = index_keys(_matrix(s.column("signature")), limits)[:, used].astype(np.int64).ravel()
+                at = pa.array(np.repeat(np.arange(s.num_rows), len(used)))
+                named = pa.array(np.tile(used.astype(np.int32), s.num_rows))
+                yield pa.RecordBatch.from_arrays([*[s.column(c).take(at) for c in rest], named, pa.array(keys)], [*rest, "slot", "key"])
 
     return nodes.mapInArrow(emit, ", ".join([*[f"{c} long" for c in rest], "slot int", "key long"]))
 
 
+def star_pairs(nodes: DataFrame, limits: Limits) -> DataFrame:
+    """Pairs (a, b): class b and the NEAREST of the classes a that are the least under one of its
+    first keys of a chunk, those that it shares most of them with."""
+    listed = keyed(nodes.select("node", "signature"), limits, limits.chunk_starts)
+    heads = listed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a")
+    shared = listed.join(heads, "key").filter("node <> a").groupBy("node", "a").agg(F.count("*").alias("n"))
+    by_node = W.partitionBy("node").orderBy(F.desc("n"), "a")
+    return shared.withColumn("r", F.row_number().over(by_node)).filter(F.col("r") <= NEAREST).select("a", F.col("node").alias("b"))
+
+
 def near_pairs(pairs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
     """Those of the pairs (a, b) whose signatures are within both limits."""
 
@@ -238,9 +266,23 @@ def central(signatures: np.ndarray) -> int:
     return int(total.argmin())
 
 
-def cross_pairs(members: DataFrame, limits: Limits, stars: bool = False) -> DataFrame:
-    """Pairs of classes under one key and of different labels within the limits, each once; with
-    `stars` only those with the most central class of the key (of each pair of blocks).
+def nearest(signatures: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows of `left` the row of `right` with another label that differs in the fewest joined components."""
+    joined = _joined(signatures)
+    step = max(1, (1 << 24) // (len(right) * JOINED))
+    for at in range(0, len(left), step):
+        i = left[at : at + step]
+        distance = (joined[i][:, None] != joined[right]).sum(2)
+        distance[labels[i][:, None] == labels[right]] = JOINED + 1
+        best = distance.argmin(1)
+        found = distance[np.arange(len(i)), best] <= JOINED
+        yield i[found], right[best[found]]
+
+
+def cross_pairs(members: DataFrame, limits: Limits, how: str = "all") -> DataFrame:
+    """Pairs of classes under one key and of different labels within the limits, each once; how
+    "central": only those with the most central class of the key (of each pair of blocks); "nearest":
+    only those of each class with the one least different from it.
 
     `members`: node, label, slot, key, signature, and n, the number of rows of the key.
     """
@@ -279,55 +321,61 @@ def cross_pairs(members: DataFrame, limits: Limits, stars: bool = False) -> Data
             slot, s = t.column("slot")[0].as_py(), _matrix(t.column("signature"))
             left = np.flatnonzero(own == lo)
             right = left if lo == hi else np.flatnonzero(own == hi)
-            if stars:
-                left = left[[central(s[left])]] if len(left) else left
-            step = max(1, (1 << 24) // (max(1, len(right)) * WIDE))
-            for at in range(0, len(left), step):
-                i = left[at : at + step]
-                a, b = np.repeat(i, len(right)), np.tile(right, len(i))
-                ok = (label[a] != label[b]) & ((a < b) | (lo != hi) | stars)
+            if not len(left) or not len(right):
+                continue
+            if how == "nearest":
+                chosen = nearest(s, label, left, right)
+            else:
+                chosen = every(left[[central(s[left])]] if how == "central" else left, right)
+            for a, b in chosen:
+                ok = (label[a] != label[b]) & ((a < b) | (lo != hi) | (how != "all"))
                 a, b = a[ok], b[ok]
                 for k in range(0, len(a), 1 << 15):
                     x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
                     joined, wide = differing(s[x], s[y])
                     near = limits.near(joined, wide)
                     x, y = x[near], y[near]
-                    if not stars:
+                    if how == "all":
                         first = first_keys(s[x], s[y], limits) == slot
                         x, y = x[first], y[first]
                     x, y = node[x], node[y]
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
+    def every(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, (1 << 24) // (len(right) * WIDE))
+        for at in range(0, len(left), step):
+            i = left[at : at + step]
+            yield np.repeat(i, len(right)), np.tile(right, len(i))
+
     ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     return ordered.mapInArrow(compare, "a long, b long")
 
 
 def mixed_keys(nodes: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
     """(node, label, slot, key, n) of the keys that hold classes of more than one label."""
-    by_key = W.partitionBy("key")
-    open_nodes = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature")
-    listed = keyed(open_nodes, limits).select("*", F.min("label").over(by_key).alias("_low"), F.max("label").over(by_key).alias("_high"), F.count("*").over(by_key).alias("n"))
-    return listed.filter("_low <> _high").drop("_low", "_high")
+    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature")
+    listed = keyed(labelled, limits)
+    both = listed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    return listed.join(both.select("key", "n"), "key").select("node", "label", "slot", "key", "n")
 
 
-def full_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Written: (node, shingles) of the given classes, made from one document of each, one with an
-    id if there is any."""
-    chosen = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
+def full_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+    """Written: (node, shingles) of the given classes, made from one document of each."""
+    one = F.min(F.struct("doc_id", "mark")).alias("one")
+    chosen = table.join(nodes, "node", "left_semi").groupBy("node").agg(one).select("node", F.col("one.doc_id").alias("own"), F.col("one.mark").alias("mark"))
     rows = marked(docs)
-    texts = rows.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    nameless = rows.filter("doc_id is null").dropDuplicates(["mark"])
-    texts = texts.union(nameless.join(chosen.filter("doc_id is null").select("mark"), "mark", "left_semi").select("text"))
+    same = rows["doc_id"].eqNullSafe(chosen["own"]) & (rows["mark"] == chosen["mark"])
+    texts = rows.join(chosen.select("own", "mark"), same, "left_semi").dropDuplicates(["doc_id", "mark"]).select("text")
 
     def read(batches):
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
             for lo, hi in slices(offsets):
                 sets = [s for s in shingle_sets(data, offsets[lo : hi + 1]) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([class_ids(s, salt)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    return written(texts.mapInArrow(read, "node long, shingles binary"), "sets").dropDuplicates(["node"])
+    return written(texts.mapInArrow(read, "node long, shingles binary").join(nodes, "node", "left_semi"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -353,34 +401,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
+class Linker:
+    """Confirms pairs of classes on their full sets, which are made once for each class that needs one,
+    and keeps the links found and the label (the least node reachable) of every linked class."""
+
+    def __init__(self, docs: DataFrame, table: DataFrame, nodes: DataFrame, salt: int, limits: Limits, percent: int):
+        self.docs, self.table, self.nodes, self.salt, self.limits, self.percent = docs, table, nodes, salt, limits, percent
+        self.sets = self.links = self.labels = None
+
+    def link(self, pairs: DataFrame) -> None:
+        """Takes the pairs (a, b), written and within the limits."""
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            needed = needed.join(self.sets.select("node"), "node", "left_anti")
+        needed = written(needed, "needed")
+        more = full_sets(self.docs, self.table.select("doc_id", "mark", "node"), needed, self.salt)
+        self.sets = more if self.sets is None else written_union(self.sets, more)
+        found = written(confirmed(pairs, self.sets, self.percent), "links")
+        drop_written(needed, pairs)
+        if self.links is not None and found.isEmpty():
+            return
+        self.links = found if self.links is None else written_union(self.links, found)
+        drop_written(self.labels)
+        self.labels = connected_components(self.links)
+
+
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row: doc_id, mark (see marked()), n_shingles and label, which the rows of a component share
     and rows without shingles lack."""
-    limits = limits_of(percent)
-    table = classes(docs)
-    nodes = table.filter("node is not null").groupBy("node").agg(F.first("signature").alias("signature"))
-    nodes = written(nodes, "nodes")
-    least = F.min("node").over(W.partitionBy("key"))
-    stars = keyed(nodes, limits).withColumn("a", least).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    stars = written(stars, "stars")
-    met = written(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct(), "met")
-    sets = full_sets(docs, table.select("doc_id", "mark", "node"), met)
-
-    links = written(confirmed(near_pairs(stars, nodes, limits), sets, percent), "links")
-    labels = connected_components(links)
-
-    for stars_only in (True, False):
-        mixed = mixed_keys(nodes.join(met, "node"), labels, limits)
-        pairs = written(cross_pairs(mixed.join(nodes, "node"), limits, stars_only), "cross")
-        found = written(confirmed(pairs.distinct() if stars_only else pairs, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = connected_components(links)
-
+    table, labels = linked_classes(docs, percent)
     placed = table.select("doc_id", "mark", "n_shingles", "node").join(labels, "node", "left")
     return placed.select("doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
+def linked_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written: classes() of the documents, and (node, label) of the classes that are linked with another."""
+    limits = limits_of(percent)
+    salt, table, nodes = distinct_classes(docs)
+    linker = Linker(docs, table, nodes, salt, limits, percent)
+    linker.link(written(near_pairs(star_pairs(nodes, limits), nodes, limits), "stars"))
+
+    open_nodes = nodes
+    for how in ("central", "nearest", "all"):
+        mixed = written(mixed_keys(open_nodes, linker.labels, limits), "mixed")
+        if open_nodes is not nodes:
+            drop_written(open_nodes)
+        open_nodes = written(mixed.select("node").distinct().join(nodes, "node").select("node", "signature"), "open")
+        used = mixed.filter(F.col("slot").isin(limits.chunk_starts.tolist())) if how == "nearest" else mixed
+        pairs = cross_pairs(used.join(open_nodes, "node"), limits, how)
+        pairs = written(pairs if how == "all" else pairs.distinct(), "cross")
+        drop_written(mixed)
+        linker.link(pairs)
+    drop_written(open_nodes)
+    drop_written(nodes, linker.sets, linker.links)
+    return table, linker.labels
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links of
     similarity at least `percent` / 100, itself included), kept (doc_id is its component_id).
@@ -389,7 +465,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     other.  Rows that share a doc_id are compared as rows; a null doc_id is no component's least id,
     and a component without other ids is null and kept.  Empty tables give an empty result.
     """
-    placed = components(docs, percent)
-    heads = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
-    out = placed.join(heads, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("head")))
+    table, labels = linked_classes(docs, percent)
+    own = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
+    linked = labels.join(own, "node")
+    least = linked.groupBy("label").agg(F.min("own").alias("head"))
+    heads = spread_join(linked, least, "label", "node").select("node", "head")
+    found = own.join(heads, "node", "left").select("node", F.coalesce("head", "own").alias("head"))
+    out = table.join(found, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -100,6 +100,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_multi_index_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+            FROM words
+        ), shingles AS (
+            SELECT r, len(s) AS n, unnest(s) AS x FROM sets
+        ), links AS (
+            SELECT a.r AS a, b.r AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.r < b.r
+            GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))
+        ), edges AS (
+            SELECT a, b FROM links UNION SELECT b, a FROM links
+        ), reach AS (
+            SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b
+        )
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, h.head AS component_id, s.doc_id = h.head AS kept
+        FROM sets s JOIN (SELECT reach.a AS r, min(t.doc_id) AS head FROM reach JOIN sets t ON t.r = reach.b GROUP BY reach.a) h USING (r)
+    """,
     "op10_threshold_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v

@@ -32,7 +32,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, computed once into the shared folder and read back; later reads survive lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = (path,)
+    return out
+
+
+def written_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of two written frames, to be dropped together."""
+    out = a.union(b)
+    out._written_at = (*a._written_at, *b._written_at)
+    return out
+
+
+def drop_written(*frames: DataFrame | None) -> None:
+    """Deletes the tables of written() frames that no later step reads."""
+    for df in frames:
+        for path in getattr(df, "__dict__", {}).pop("_written_at", ()):
+            drop_folder(df.sparkSession, path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

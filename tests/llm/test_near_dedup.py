@@ -86,6 +86,30 @@ def test_odd_rows(spark, texts):
     check(spark, rows)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_no_linear_relation_collide(spark):
+    """A word and its complement in the Thue-Morse sequence, which every polynomial hash modulo 2**64 confuses."""
+    word = thue_morse(2048)
+    check(spark, [(1, word), (2, word.translate({97: 98, 98: 97})), (3, word)])
+
+
+def test_two_sets_with_one_id(spark, monkeypatch):
+    """Sets that share the id of the first salt are told apart by their proof, and ids made anew."""
+    real = nd.class_ids
+    monkeypatch.setattr(nd, "class_ids", lambda s, salt=0: (7, real(s)[1]) if salt == 0 else real(s, salt))
+    salt, table, nodes = nd.distinct_classes(spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "a b c")], "doc_id long, text string").coalesce(1))
+    assert salt == 1 and nodes.count() == 2 and table.count() == 3
+
+
+def test_one_doc_id_with_many_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(4, " ".join([*words[:59], f"x{k}"])) for k in range(12)] + [(9, " ".join(words)), (2, "other words that stand quite alone here")]
+    check(spark, rows)
+
+
 def test_signature_distance_and_keys():
     r = np.random.default_rng(3)
     bound = []
