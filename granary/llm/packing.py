@@ -1,11 +1,13 @@
 """Operator 7: cost-balanced packing of token sequences.
 
 The cost of a piece of n tokens is LINEAR * n + QUADRATIC * n * n (projections and attention).
-Within a group of about GROUP_TOKENS tokens, whole windows of long documents become sequences of
-their own; the remainders are taken by descending cost and each goes to the sequence of lowest cost
-that still has room; what finds no room is cut to fill the gaps, cheapest sequence first.  A group
-opens only as many sequences as it can fill, and hands its leftover to the next one, so only the
-last tokens of a partition are short: these are cut into sequences whose lengths are powers of two.
+Documents longer than a sequence are cut into the fewest parts that fit, of equal length, so that no
+part makes a sequence as dear as a whole window would.  Within a group of about GROUP_TOKENS tokens
+documents and parts are taken by descending cost and each goes to the sequence of lowest cost that
+still has room; what finds no room is cut to fill the gaps, cheapest sequence first, each cut adding
+its cost.  A group opens only as many sequences as it can fill, and hands its leftover to the next
+one, so only the last tokens of a partition are short: these are cut into sequences whose lengths are
+powers of two.
 
 Groups are formed inside the partitions of the input, so nothing is shuffled and memory is bounded
 by a group and the longest text.
@@ -13,6 +15,7 @@ by a group and the longest text.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -51,22 +54,31 @@ def balance(lengths: np.ndarray, sequences: int, capacity: int = CAPACITY, linea
         room[s] -= n
         cost[s] += linear * n + quadratic * n * n
         out.append((i, 0, n, s))
-    order = [int(s) for s in np.argsort(cost, kind="stable") if room[s]]
+    gaps = [(cost[s], s) for s in np.flatnonzero(room).tolist()]
+    heapq.heapify(gaps)
     for i in rest:
         at, n = 0, int(lengths[i])
-        while at < n and order:
-            s = order[0]
+        while at < n and gaps:
+            spent, s = heapq.heappop(gaps)
             take = min(n - at, int(room[s]))
             out.append((i, at, take, s))
             room[s] -= take
             at += take
-            if not room[s]:
-                order.pop(0)
+            if room[s]:
+                heapq.heappush(gaps, (spent + linear * take + quadratic * take * take, s))
         if at < n:
             out.append((i, at, n - at, -1))
     return out
 
 
+def equal_parts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """(start, end) of the fewest parts of at most `capacity` that n tokens are cut into, equally long
+    but for one token."""
+    parts = -(-n // capacity)
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def power_cuts(lengths: list[int]) -> list[tuple[int, int, int, int]]:
     """Cuts a short leftover into sequences whose lengths are the powers of two of its total."""
     total = sum(lengths)
@@ -98,14 +110,10 @@ class Packer:
         self.rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, sequence, offset))
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        n, cap = len(ids) // 4, self.capacity
-        whole = n // cap * cap
-        for start in range(0, whole, cap):
-            self._emit(doc_id, start, ids[4 * start : 4 * (start + cap)], n, self.sequence, 0)
-            self.sequence += 1
-        if n > whole:
-            self.pieces.append((doc_id, whole, ids[4 * whole :], n))
-            self.tokens += n - whole
+        n = len(ids) // 4
+        for start, end in equal_parts(n, self.capacity):
+            self.pieces.append((doc_id, start, ids[4 * start : 4 * end], n))
+        self.tokens += n
         if self.tokens >= GROUP_TOKENS or len(self.pieces) >= GROUP_PIECES:
             self.pack()
 

@@ -96,14 +96,49 @@ def test_groups_and_balance(monkeypatch):
     packer.finish()
     sequences = check_packing(packer.rows, want)
     assert len(sequences) <= sum(map(len, want.values())) // 2048 + 12 and min(sequences) >= 7 << 36
-    lengths = r.integers(1, 2049, 3000)
-    placed = packing.balance(lengths, int(lengths.sum()) // 2048)
-    cost = {}
-    for i, at, n, s in placed:
-        if s >= 0:
-            cost[s] = cost.get(s, 0) + n + n * n / 512
-    balanced = np.array(list(cost.values()))
-    assert balanced.std() / balanced.mean() < 0.35
+
+
+def cost(n):
+    return n + n * n / 512
+
+
+def spread(costs):
+    costs = np.array(list(costs))
+    return costs.std() / costs.mean()
+
+
+@pytest.mark.parametrize(("mean", "sigma"), [(6, 1.2), (5.5, 1), (5, 1), (6.5, 0.8), (4.5, 1.5)])
+def test_costs_are_closer_than_by_concatenation(mean, sigma):
+    for seed in range(3):
+        lengths = (np.random.default_rng(seed).lognormal(mean, sigma, 1500) + 1).astype(int).tolist()
+        packer, cut, at = packing.Packer(0), {}, 0
+        for i, n in enumerate(lengths):
+            packer.add(i, b"\0\0\0\0" * n)
+            while n:
+                take = min(n, 2048 - at % 2048)
+                cut[at // 2048] = cut.get(at // 2048, 0) + cost(take)
+                at, n = at + take, n - take
+        packer.finish()
+        packed, sizes = {}, {}
+        for _, _, n, _, _, s, _ in packer.rows:
+            packed[s], sizes[s] = packed.get(s, 0) + cost(n), sizes.get(s, 0) + n
+        whole = [c for s, c in packed.items() if sizes[s] == 2048]
+        assert len(whole) == sum(lengths) // 2048
+        assert spread(whole) < 0.85 * spread([c for s, c in cut.items() if s < at // 2048])
+
+
+def test_what_finds_no_room_is_cut_into_the_cheaper_gap_first():
+    placed = packing.balance(np.array([1500, 1400, 600, 596]), 2)
+    assert placed[3:] == [(3, 0, 548, 0), (3, 548, 48, 1)]
+    assert packing.balance(np.array([1500, 1400, 600, 597]), 2)[-1] == (3, 596, 1, -1)
+
+
+@pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 4096, 5000, 100_001])
+def test_equal_parts(n):
+    parts = packing.equal_parts(n)
+    sizes = [b - a for a, b in parts]
+    assert parts[0][0] == 0 and parts[-1][1] == n and all(x[1] == y[0] for x, y in zip(parts, parts[1:], strict=False))
+    assert max(sizes) <= 2048 and max(sizes) - min(sizes) <= 1 and len(parts) == -(-n // 2048)
 
 
 def brute_viterbi(model, word):
