@@ -1,7 +1,8 @@
 """Operator 6: Lempel-Ziv phrase fingerprints.
 
 A text's UTF-8 bytes are parsed into the phrases of an LZ78 dictionary (each phrase is the longest
-known one plus a byte); the set of phrases is hashed to 32 bits and the SIZE smallest hashes are the
+known one plus a byte; a known one that the text ends in counts as an unfinished phrase, apart from
+the finished one); the set of phrases is hashed to 32 bits and the SIZE smallest hashes are the
 fingerprint.  The likeness of two fingerprints estimates the Jaccard similarity of the phrase sets
 from the smallest hashes of their union, as compression distances compare shared phrases.
 
@@ -24,6 +25,8 @@ from .sharding import known_id, ordered_parts
 from .textops import span_hashes
 
 SIZE = 64
+#: Seed of the hash of an unfinished phrase.
+UNFINISHED = 1
 
 
 class Parse:
@@ -58,11 +61,16 @@ class Parse:
 
     def smallest(self, data: bytes, size: int = SIZE) -> np.ndarray:
         """The fingerprint: the smallest distinct 32-bit phrase hashes, ascending."""
-        if not self.ends:
+        if not data:
             return np.zeros(0, np.uint32)
         ends = np.array(self.ends, np.int64)
-        starts = np.concatenate(([0], ends[:-1]))
-        hashes = (span_hashes(np.frombuffer(data, np.uint8), starts, ends) >> np.uint64(32)).astype(np.uint32)
+        starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))[: len(ends)]
+        text = np.frombuffer(data, np.uint8)
+        hashes = span_hashes(text, starts, ends)
+        if self.node:
+            last = np.array([[self.ends[-1]], [len(data)]])
+            hashes = np.append(hashes, span_hashes(text, *last, seed=UNFINISHED))
+        hashes = (hashes >> np.uint64(32)).astype(np.uint32)
         if len(hashes) > 4 * size:
             hashes = np.partition(hashes, 3 * size)[: 3 * size]
         hashes.sort()

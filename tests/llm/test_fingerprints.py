@@ -3,36 +3,63 @@ import hashlib
 import numpy as np
 
 from granary.llm import fingerprints as fp
+from granary.llm.textops import span_hashes
 
 
 def phrases(text):
-    """The phrase set of an LZ78 parse of the bytes, by strings."""
+    """The phrase set of an LZ78 parse of the bytes, by strings; (phrase, 1) is an unfinished one."""
     data, seen, start = text.encode(), set(), 0
     for end in range(1, len(data) + 1):
         if data[start:end] not in seen:
             seen.add(data[start:end])
             start = end
-    return seen
+    return {(p, 0) for p in seen} | ({(data[start:], 1)} if start < len(data) else set())
+
+
+def plain_print(text):
+    """The smallest hashes of the phrases, each hashed by itself."""
+    zero, hashes = np.zeros(1, np.int64), set()
+    for phrase, seed in phrases(text or ""):
+        hashes.add(int(span_hashes(np.frombuffer(phrase, np.uint8), zero, zero + len(phrase), seed=seed)[0]) >> 32)
+    return sorted(hashes)[:64]
+
+
+def shown(hashes):
+    return "".join(f"{h:08x}" for h in hashes)
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    least = sorted({*a, *b})[:64]
+    return sum(h in a and h in b for h in least) / len(least)
 
 
 def brute(docs):
-    """Rows as the query must give them, from plain fingerprints."""
+    """Rows as the query must give them, from phrase sets."""
     docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
     out = []
     for k, (i, t) in enumerate(docs):
         t, n = t or "", docs[(k + 1) % len(docs)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + n[:half]
-        own, new = fp.fingerprint(t), fp.fingerprint(edited)
-        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp.show(own), fp.show(new), fp.likeness(own, new), fp.likeness(own, fp.fingerprint(n))))
+        own, new, following = plain_print(t), plain_print(edited), plain_print(n)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(own), shown(new), plain_likeness(own, new), plain_likeness(own, following)))
     return sorted(out, key=repr)
 
 
+def test_the_end_of_a_text_counts():
+    for a, b in (("a", "aa"), ("ab", "aba"), ("abc", "abca"), ("aab", "aaba")):
+        assert fp.fingerprint(a).tolist() != fp.fingerprint(b).tolist() and fp.likeness(fp.fingerprint(a), fp.fingerprint(b)) < 1
+
+
 def test_parse_finds_the_phrases():
     for text in ("", "a", "aaaaaaa", "abababababab", "größe größe größe", "the cat sat on the mat " * 30):
         parse = fp.Parse().read(text.encode())
         starts = [0, *parse.ends[:-1]]
-        assert {text.encode()[a:b] for a, b in zip(starts, parse.ends, strict=True)} == phrases(text) if parse.ends else not phrases(text)
+        done = {(text.encode()[a:b], 0) for a, b in zip(starts, parse.ends, strict=True)} if parse.ends else set()
+        assert done == {p for p in phrases(text) if not p[1]}
+        assert fp.fingerprint(text).tolist() == plain_print(text)
 
 
 def test_likeness_follows_shared_phrases(texts):
