@@ -1,12 +1,19 @@
 """Operator 10: exact top-k by inner product with the threshold algorithm.
 
 Candidates are cut into blocks; within a block every dimension has its list of candidates sorted by
-their component.  A query reads the lists from the end that its own component favours, in rounds of
-growing depth; every candidate met is scored in full (random access), and no candidate not met can
-score above the bound, the sum over dimensions of the query's component times the component at the
-depth reached.  A block is done once the bound lies below the query's k-th best score so far, which
-it brings along from the blocks before.  Where the lists say little (many dimensions of even
-spread), the depth reaches the end and every candidate of the block has been scored: still exact.
+their component.  A query reads the lists from the end that its own component favours, to growing
+depths; every candidate met for the first time is scored in full (random access), and no candidate
+not met can score above the bound, the sum over dimensions of the query's component times the
+component at the depth reached.  A block is done once the bound lies below the query's k-th best
+score so far, which it brings along from the blocks before.
+
+No candidate is scored twice, and nothing but the bound or the end of the lists stops a query.  How
+much the bound saves lies in the vectors: where a few dimensions decide it saves nearly all, where
+all dimensions are alike and independent it falls below the k-th score only about a third down the
+lists, when nearly every candidate has been met in one of them.
+
+Scores are exact: products are summed as doubles where all sums stay below 2**53, as 64-bit integers
+below 2**63; vectors whose scores might not fit a long raise an error.
 
 Queries are a stated set; they meet the candidates block by block.  A task holds one block of each
 and K rows for each query, and the rows that leave it are K for each query and group of blocks.
@@ -26,7 +33,13 @@ from .shared import session_partitions, written
 
 BLOCK = 4096
 QUERIES = 512
-FIRST_DEPTH = 8
+#: Depth of the first look at the bound, as a share of the lists; each next one is DEEPER times it.
+FIRST_SHARE, DEEPER = 1 / 512, 2
+
+
+def largest(vectors: np.ndarray) -> int:
+    """The largest absolute value, also where it is the least long's."""
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
 
 
 class Block:
@@ -35,8 +48,19 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.lists = np.argsort(self.vectors, axis=0, kind="stable")  # row r of column d: the r-th smallest
-        self.sorted = np.take_along_axis(self.vectors, self.lists, axis=0)
+        lists = np.argsort(self.vectors, axis=0, kind="stable")  # row r of column d: the r-th smallest
+        self.sorted = np.take_along_axis(self.vectors, lists, axis=0)
+        # the place of each candidate in each list, counted from the small end and from the large end
+        n, dims = self.vectors.shape
+        small = np.empty((dims, n), np.int32)
+        np.put_along_axis(small, lists.T, np.arange(n, dtype=np.int32)[None], axis=1)
+        self.places = np.stack((small, np.int32(n - 1) - small))
+        self.largest = largest(self.vectors)
+
+    def first_met(self, up: np.ndarray) -> np.ndarray:
+        """The least depth at which each candidate shows in one of the lists, read from the large end
+        where `up`."""
+        return self.places[up.astype(np.int8), np.arange(len(up))].min(0)
 
 
 class Best:
@@ -44,7 +68,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.scores = np.full((queries, k), -(1 << 62))
+        self.scores = np.full((queries, k), np.iinfo(np.int64).min)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def offer(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -52,42 +76,42 @@ class Best:
         ok = scores >= low
         if ok.any():
             s, i = np.concatenate((self.scores[q], scores[ok])), np.concatenate((self.ids[q], ids[ok]))
-            top = np.lexsort((i, -s))[: self.k]
+            top = np.lexsort((i, ~s))[: self.k]  # ~s falls as s grows, without overflow
             self.scores[q], self.ids[q] = s[top], i[top]
 
 
+def exact(block: Block, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block's vectors and the queries in a type that holds every sum of their products."""
+    most = block.largest * largest(queries) * queries.shape[1]
+    if most >= 1 << 63:
+        raise OverflowError("a score may not fit a 64-bit integer")
+    kind = np.float64 if most < 1 << 53 else np.int64
+    return block.vectors.astype(kind, copy=False), queries.astype(kind, copy=False)
+
+
 def threshold_search(block: Block, query_ids: np.ndarray, queries: np.ndarray, best: Best) -> int:
     """Improves `best` by the block's candidates other than the query's own row; returns how many
     scores were computed."""
-    n, dims = block.vectors.shape
+    n, _ = block.vectors.shape
+    vectors, queries = exact(block, queries)
+    ordered = block.sorted.astype(vectors.dtype, copy=False)
     computed = 0
-    up = queries > 0
-    alive = np.arange(len(queries))
-    depth, done = min(FIRST_DEPTH, n), np.zeros((len(queries), n), bool)
-    while len(alive):
-        # the bound on candidates not met within this depth
-        high, low = block.sorted[n - depth], block.sorted[depth - 1]
-        bound = (queries[alive] * np.where(up[alive], high, low)).sum(1)
-        last = depth == n
-        if last or depth * dims >= 2 * n:
-            # the lists would meet nearly every candidate by this depth: score the rest at once
-            scores = queries[alive] @ block.vectors.T
-            computed += scores.size
-            for row, q in enumerate(alive.tolist()):
-                fresh = ~done[q] & (block.ids != query_ids[q])
-                best.offer(q, scores[row][fresh].astype(np.int64), block.ids[fresh])
-            return computed
-        top, bottom = block.lists[n - depth :], block.lists[:depth]
-        for row, q in enumerate(alive.tolist()):
-            met = np.unique(np.where(up[q], top, bottom).ravel())
-            met = met[~done[q, met]]
-            done[q, met] = True
-            computed += len(met)
-            met = met[block.ids[met] != query_ids[q]]
-            best.offer(q, (block.vectors[met] @ queries[q]).astype(np.int64), block.ids[met])
-            alive[row] = q if bound[row] >= best.scores[q, -1] else -1
-        alive = alive[alive >= 0]
-        depth = min(n, 4 * depth)
+    for q, query in enumerate(queries):
+        up = query > 0
+        met = block.first_met(up)
+        waiting = np.argsort(met, kind="stable")
+        depths, done, depth = met[waiting], 0, max(1, int(n * FIRST_SHARE))
+        while done < n:
+            upto = int(np.searchsorted(depths, depth))
+            at = waiting[done:upto]
+            computed += len(at)
+            others = at[block.ids[at] != query_ids[q]]
+            best.offer(q, (vectors[others] @ query).astype(np.int64), block.ids[others])
+            done = upto
+            # what the bound allows to candidates not met within this depth
+            if (query * np.where(up, ordered[n - depth], ordered[depth - 1])).sum() < best.scores[q, -1]:
+                break
+            depth = min(n, DEEPER * depth)
     return computed
 
 
@@ -105,7 +129,7 @@ def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         for b in batches:
             ids, column = b.column("vec_id").to_numpy(), b.column("v")
             sizes = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             starts = np.cumsum(sizes) - sizes
             for dims in np.unique(sizes[sizes > 0]).tolist():
                 picked = np.flatnonzero(sizes == dims)
@@ -125,7 +149,8 @@ def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """For each query row the k other rows of its length with the highest integer inner product.
 
-    `vectors`: vec_id long and v array<long>, without nulls; sums of products must stay below 2**53.
+    `vectors`: vec_id long and v array<long>, without nulls; scores that may not fit a long raise an
+    error (see exact()).
     Columns: query_id, rank from 1, vec_id, score; ties go to the smaller vec_id.  Rows that share
     a vec_id with the query count as its own.  Empty vectors take no part; no queries or no
     candidates give an empty result.
@@ -154,13 +179,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                         yield out()
                     name = now
                     query_ids = np.frombuffer(b.column("query_ids")[r].as_buffer(), np.int64)
-                    asked_ = np.frombuffer(b.column("query_data")[r].as_buffer(), np.float64).reshape(-1, dims)
+                    asked_ = np.frombuffer(b.column("query_data")[r].as_buffer(), np.int64).reshape(-1, dims)
                     best = Best(len(query_ids), k)
                 ids = b.column("ids")[r].as_py()
                 if ids not in blocks:
                     if len(blocks) >= 8:
                         blocks.clear()
-                    blocks[ids] = Block(np.frombuffer(ids, np.int64), np.frombuffer(b.column("data")[r].as_buffer(), np.float64).reshape(-1, dims))
+                    blocks[ids] = Block(np.frombuffer(ids, np.int64), np.frombuffer(b.column("data")[r].as_buffer(), np.int64).reshape(-1, dims))
                 threshold_search(blocks[ids], query_ids, asked_, best)
         if best is not None:
             yield out()

@@ -40,8 +40,25 @@ def test_odd_rows(spark):
 
 def test_the_bound_stops_early():
     r = np.random.default_rng(1)
-    ids, vectors = np.arange(20_000), np.floor(r.normal(size=(20_000, 2)) * 256)
+    ids, vectors = np.arange(20_000), np.floor(r.normal(size=(20_000, 2)) * 256).astype(np.int64)
     best = topk.Best(1, 5)
-    computed = topk.threshold_search(topk.Block(ids, vectors), np.array([-1]), np.array([[300.0, 200.0]]), best)
-    scores = vectors @ [300.0, 200.0]
+    computed = topk.threshold_search(topk.Block(ids, vectors), np.array([-1]), np.array([[300, 200]]), best)
+    scores = vectors @ [300, 200]
     assert computed < 5000 and best.ids[0].tolist() == np.lexsort((ids, -scores))[:5].tolist()
+
+
+def test_no_candidate_is_scored_twice():
+    r = np.random.default_rng(2)
+    ids, vectors = np.arange(3000), np.floor(r.normal(size=(3000, 64)) * 256).astype(np.int64)
+    assert topk.threshold_search(topk.Block(ids, vectors), ids[:20], vectors[:20], topk.Best(20, 5)) <= 20 * 3000
+
+
+def test_exact_beyond_doubles(spark):
+    """Scores that differ by less than a double can tell at their size."""
+    rows = [(0, [4194304.0, 1.0]), *[(k, [4194304.0, float(k)]) for k in range(1, 9)]]
+    assert search(spark, rows) == brute(rows) and brute(rows)[0][3] > 1 << 53
+
+
+def test_scores_that_fit_no_long(spark):
+    with pytest.raises(Exception, match="64-bit"):
+        search(spark, [(0, [1e30, 1.0]), (1, [2.0, 1e30])])
