@@ -1,10 +1,13 @@
 """Operator 5: toxicity by a factorization machine over hashed terms.
 
 Terms of a text: its distinct lower-cased words and their first 4, 5 and 6 bytes (so that inflected
-and compound forms meet), hashed into BUCKETS.  From a bounded sample of labelled rows the
-TERMS buckets that say most about the label are kept; a factorization machine of RANK factors learns
-a weight for each and an interaction for each pair, so that two terms together can mean more (or
-less) than their sum.  The score is a probability; labels are learned from, never looked up.
+and compound forms meet), hashed into BUCKETS.  From a bounded sample of labelled rows the machine
+learns for every bucket seen a weight, and RANK factors, so that two terms together can mean more (or
+less) than their sum.  No term is left out: a term that says nothing about the label by itself may
+do so beside another.  How far a weight may grow follows from how surely its term goes with the label
+(see `trust`), which keeps the many rare terms from drowning the telling ones; factors are free, and
+a text's interactions are divided by its number of terms, so that long texts are no louder.
+The score is a probability; labels are learned from, never looked up.
 """
 
 from __future__ import annotations
@@ -16,14 +19,16 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .shared import with_field
-from .textops import cut_tokens, slices, sorted_counts, sorted_unique, span_hashes, text_buffers
+from .textops import cut_tokens, slices, sorted_unique, span_hashes, text_buffers
 
 #: Labelled rows learned from at most: those with the smallest hash of their doc_id.
 SAMPLE = 6000
 BUCKETS = 1 << 20
-TERMS = 2048
 RANK = 6
 PREFIXES = (4, 5, 6)
+#: Chi-squared statistic at which a term's weight is trusted by half.
+HALF_TRUST = 10.0
+BATCH = 32
 
 U = np.uint64
 
@@ -41,82 +46,88 @@ def term_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (ids >> U(20)).astype(np.int64), (ids & U(BUCKETS - 1)).astype(np.int32)
 
 
+def trust(columns: np.ndarray, rows: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
+    """For each term from 0 to 1 how surely it goes with a label: c / (c + HALF_TRUST) of its
+    chi-squared statistic c (with continuity correction)."""
+    share = labels.mean()
+    seen = np.bincount(columns, minlength=terms)
+    expected = seen * share
+    off = np.maximum(np.abs(np.bincount(columns, labels[rows], terms) - expected) - 0.5, 0)
+    chi = off**2 / np.maximum(expected * (1 - share) * (1 - seen / len(labels)), 1e-9)
+    return chi / (chi + HALF_TRUST)
+
+
+class Batch:
+    """Rows of a mini-batch with the order that sums their gradients by term."""
+
+    def __init__(self, columns: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.labels, self.scale = labels, 1 / np.sqrt(sizes)
+        self.row, self.starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        self.terms, self.place = np.unique(columns, return_inverse=True)
+        self.order = np.argsort(self.place, kind="stable")
+        self.firsts = np.searchsorted(self.place[self.order], np.arange(len(self.terms)))
+
+    def by_term(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.order], self.firsts) / len(self.labels)
+
+
 class FactorizationMachine:
-    """bias + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j, with x_i = 1 for a present term."""
+    """bias + sum w_i + (sum over pairs <v_i, v_j>) / m over the known terms of a text of m terms."""
 
     def __init__(self, terms: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.terms, self.bias, self.weights, self.factors = terms, bias, weights, factors
 
-    def raw(self, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
-        """Raw scores of n rows, whose present terms are given in row order."""
-        out = np.full(n, self.bias)
+    def raw(self, rows: np.ndarray, columns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Raw scores of texts with `sizes` terms each, whose known ones are given in row order."""
+        out = np.full(len(sizes), float(self.bias))
         if len(rows):
             at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
             v = self.factors[columns]
             total = np.add.reduceat(v, at)
             pairs = 0.5 * (total * total - np.add.reduceat(v * v, at)).sum(1)
-            out[rows[at]] += np.add.reduceat(self.weights[columns], at) + pairs
+            out[rows[at]] += np.add.reduceat(self.weights[columns], at) + pairs / sizes[rows[at]]
         return out
 
-    def scores(self, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(rows, columns, n), -40, 40)))
+    def scores(self, rows: np.ndarray, columns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.raw(rows, columns, sizes), -40, 40)))
 
     @classmethod
-    def fit(cls, rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, epochs: int = 30, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> FactorizationMachine:
-        """Logistic loss, Adagrad over mini-batches of 64 rows; without rows of both labels constant."""
+    def fit(
+        cls, rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, rank: int = RANK, epochs: int = 15, rate: float = 0.3, factor_rate: float = 0.05, decay: float = 1e-5, factor_decay: float = 1e-3, seed: int = 7
+    ) -> FactorizationMachine:
+        """Logistic loss, Adagrad over mini-batches of BATCH rows; without rows of both labels constant."""
         n, positive = len(labels), labels.sum()
         bias = float(np.log((positive + 1) / (n - positive + 1)))
-        terms = informative(rows, buckets, labels)
-        model = cls(terms, bias, np.zeros(len(terms)), np.random.default_rng(seed).normal(0, 0.01, (len(terms), RANK)))
-        if not len(terms):
-            return model
-        columns = np.searchsorted(terms, buckets)
-        known = (columns < len(terms)) & (terms[np.minimum(columns, len(terms) - 1)] == buckets)
-        rows, columns = rows[known], columns[known]
-        first = np.searchsorted(rows, np.arange(n + 1))
-        sums = [1e-6, np.full(len(terms), 1e-6), np.full((len(terms), RANK), 1e-6)]
+        if not len(rows) or not 0 < positive < n:
+            return cls(np.zeros(0, np.int32), bias, np.zeros(0), np.zeros((0, rank)))
+        terms, columns = np.unique(buckets, return_inverse=True)
+        trusted = trust(columns, rows, labels, len(terms))
         rng = np.random.default_rng(seed)
+        weights, factors = np.zeros(len(terms)), rng.normal(0, 0.1, (len(terms), rank))
+        first = np.searchsorted(rows, np.arange(n + 1))
+        order = rng.permutation(np.flatnonzero(np.diff(first)))
+        batches = []
+        for lo in range(0, len(order), BATCH):
+            picked = order[lo : lo + BATCH]
+            batches.append(Batch(columns[np.concatenate([np.arange(first[i], first[i + 1]) for i in picked])], first[picked + 1] - first[picked], labels[picked]))
+        sums = [1e-6, np.full(len(terms), 1e-6), np.full((len(terms), rank), 1e-6)]
         for _ in range(epochs):
-            order = rng.permutation(n)
-            for lo in range(0, n, 64):
-                picked = order[lo : lo + 64]
-                sizes = first[picked + 1] - first[picked]
-                r = np.repeat(np.arange(len(picked)), sizes)
-                c = columns[np.concatenate([np.arange(first[i], first[i + 1]) for i in picked])] if sizes.sum() else np.zeros(0, np.int64)
-                error = model.scores(r, c, len(picked)) - labels[picked]
+            for k in rng.permutation(len(batches)).tolist():
+                b = batches[k]
+                t, own = b.terms, factors[b.terms]
+                v = own[b.place] * b.scale[b.row, None]
+                total = np.add.reduceat(v, b.starts)
+                raw = bias + np.add.reduceat((weights[t] * trusted[t])[b.place], b.starts) + 0.5 * (total * total - np.add.reduceat(v * v, b.starts)).sum(1)
+                error = 1 / (1 + np.exp(-np.clip(raw, -40, 40))) - b.labels
+                gw = trusted[t] * b.by_term(error[b.row]) + decay * weights[t]
+                gv = b.by_term((error * b.scale)[b.row, None] * (total[b.row] - v)) + factor_decay * own
                 sums[0] += error.mean() ** 2
-                model.bias -= rate * error.mean() / np.sqrt(sums[0])
-                if not len(c):
-                    continue
-                v = model.factors[c]
-                total = np.zeros((len(picked), RANK))
-                np.add.at(total, r, v)
-                unique, place = np.unique(c, return_inverse=True)
-                gw, gv = np.zeros(len(unique)), np.zeros((len(unique), RANK))
-                np.add.at(gw, place, error[r])
-                np.add.at(gv, place, error[r, None] * (total[r] - v))
-                gw, gv = gw / len(picked) + decay * model.weights[unique], gv / len(picked) + decay * model.factors[unique]
-                sums[1][unique] += gw**2
-                sums[2][unique] += gv**2
-                model.weights[unique] -= rate * gw / np.sqrt(sums[1][unique])
-                model.factors[unique] -= 0.25 * rate * gv / np.sqrt(sums[2][unique])
-        return model
-
-
-def informative(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, terms: int = TERMS) -> np.ndarray:
-    """Buckets with the largest chi-squared statistic against the label, ascending; those seen in
-    fewer than three rows, and those that say nothing, are left out."""
-    n, positive = len(labels), labels.sum()
-    if not 0 < positive < n:
-        return np.zeros(0, np.int32)
-    seen, count = sorted_counts(buckets)
-    _, hits = sorted_counts(np.concatenate((buckets[labels[rows] == 1], seen)))
-    hits = hits - 1
-    expected = count * positive / n
-    chi = (hits - expected) ** 2 * n * n / np.maximum(count * positive * (n - positive), 1) / np.maximum(1 - count / n, 1e-9)
-    chi[(count < 3) | (chi < 10.83)] = 0  # one in a thousand by chance
-    best = np.lexsort((seen, -chi))[:terms]
-    return np.sort(seen[best[chi[best] > 0]]).astype(np.int32)
+                sums[1][t] += gw**2
+                sums[2][t] += gv**2
+                bias -= rate * error.mean() / np.sqrt(sums[0])
+                weights[t] -= rate * trusted[t] * gw / np.sqrt(sums[1][t])
+                factors[t] -= factor_rate * gv / np.sqrt(sums[2][t])
+        return cls(terms.astype(np.int32), float(bias), (weights * trusted).astype(np.float32), factors.astype(np.float32))
 
 
 def held_out_column(doc_id: str = "doc_id", folds: int = 5) -> Column:
@@ -127,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
     """Learns from labelled rows that are not held out, at most `sample` of them.
 
     Rows with a null doc_id or a null or other label are not learned from.  A doc_id that occurs
-    more than once in `labels` counts by its largest label.
+    more than once in `labels` counts by its largest label, one that occurs more than once in `docs`
+    by the text of least hash.  The driver gets the distinct terms (at most BUCKETS numbers) of each.
     """
     known = labels.filter("toxic in (0, 1)").filter(~held_out_column()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -144,16 +156,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
                 rows, buckets = term_ids(data, offsets[lo : hi + 1])
                 cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(buckets, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("_toxic").slice(lo, hi - lo), lists], ["doc_id", "_toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark", "_toxic")], lists], ["doc_id", "mark", "_toxic", "terms"])
 
     got = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "text", "_toxic")
-        .mapInArrow(terms, "doc_id long, _toxic int, terms array<int>")
+        .select("doc_id", F.xxhash64("text").alias("mark"), "text", "_toxic")
+        .mapInArrow(terms, "doc_id long, mark long, _toxic int, terms array<int>")
+        .groupBy("doc_id", "_toxic")
+        .agg(F.min_by("terms", "mark").alias("terms"))
+        .select("doc_id", "_toxic", "terms")
         .toArrow()
     )
-    got = got.take(pa.array(np.lexsort((got["_toxic"].to_numpy(), got["doc_id"].to_numpy())))).combine_chunks()
+    if not got.num_rows:
+        return FactorizationMachine(np.zeros(0, np.int32), 0.0, np.zeros(0), np.zeros((0, RANK)))
+    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy()))).combine_chunks()
     lists = got["terms"].combine_chunks() if isinstance(got["terms"], pa.ChunkedArray) else got["terms"]
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     return FactorizationMachine.fit(rows, lists.flatten().to_numpy(), got["_toxic"].to_numpy().astype(np.int64))
@@ -179,7 +196,7 @@ def score(docs: DataFrame, model: FactorizationMachine, name: str = "score") ->
                 rows, buckets = term_ids(data, offsets[lo : hi + 1])
                 columns = place[buckets]
                 known = columns >= 0
-                found[lo:hi] = own.scores(rows[known], columns[known], hi - lo)
+                found[lo:hi] = own.scores(rows[known], columns[known], np.bincount(rows, minlength=hi - lo))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(found)], [*names, name])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in names])

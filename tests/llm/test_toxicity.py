@@ -1,26 +1,34 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from granary.llm import toxicity
+from granary.llm import textops, toxicity
 
 
-def corpus(spark, n=700, seed=2):
-    """Toxic: an insult together with a group; either alone is fine."""
+def texts_of(n=700, seed=2, toxic=lambda insult, group: insult and group):
+    """Texts that hold an insult, a group, both or neither, with their labels."""
     r = random.Random(seed)
-    rows, labels = [], []
-    for i in range(n):
+    texts, labels = [], []
+    for _ in range(n):
         words = [f"w{r.randint(0, 200)}" for _ in range(r.randint(1, 40))]
         insult, group = r.random() < 0.5, r.random() < 0.5
         words += ["Vermin!"] * insult + ["outsiders,"] * group
         r.shuffle(words)
-        rows.append((i, " ".join(words), r.choice(["en", "fr"])))
-        labels.append((i, None, int(insult and group)))
-    return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        texts.append(" ".join(words))
+        labels.append(int(toxic(insult, group)))
+    return texts, labels
+
+
+def corpus(spark, n=700, seed=2):
+    """Toxic: an insult together with a group; either alone is fine."""
+    texts, labels = texts_of(n, seed)
+    docs = [(i, t, "en" if i % 2 else "fr") for i, t in enumerate(texts)]
+    return spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame([(i, None, y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
 
 
-def test_interactions_are_learned(spark):
+def test_products_are_learned(spark):
     docs, labels = corpus(spark)
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     rows = toxicity.toxicity(docs, labels).collect()
@@ -30,13 +38,46 @@ def test_interactions_are_learned(spark):
     assert all((r["score"] >= 0.5) == (r["predicted"] == 1) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def held_out_accuracy(rank, seed):
+    """Of labels that neither word tells: toxic is either, not both."""
+    texts, labels = texts_of(3000, seed, lambda insult, group: insult != group)
+    data, offsets = textops.text_buffers(pa.array(texts))
+    parts = [toxicity.term_ids(data, offsets[a : b + 1]) for a, b in ((0, 2400), (2400, 3000))]
+    labels = np.array(labels)
+    model = toxicity.FactorizationMachine.fit(*parts[0], labels[:2400], rank=rank)
+    rows, buckets = parts[1]
+    known = np.isin(buckets, model.terms)
+    scores = model.scores(rows[known], np.searchsorted(model.terms, buckets[known]), np.bincount(rows, minlength=600))
+    return np.mean((scores >= 0.5) == labels[2400:])
+
+
+@pytest.mark.parametrize("seed", [2, 5])
+def test_interactions_are_learned(seed):
+    assert held_out_accuracy(6, seed) >= 0.95
+    assert held_out_accuracy(0, seed) < 0.6
+
+
+def test_no_term_is_left_out():
+    texts, labels = texts_of(200)
+    rows, buckets = toxicity.term_ids(*textops.text_buffers(pa.array(texts)))
+    assert toxicity.FactorizationMachine.fit(rows, buckets, np.array(labels), epochs=1).terms.tolist() == np.unique(buckets).tolist()
+
+
 def test_raw_score_is_the_definition():
     r = np.random.default_rng(1)
     model = toxicity.FactorizationMachine(np.arange(6), 0.3, r.normal(size=6), r.normal(size=(6, 3)))
     present = [[0, 2, 5], [], [1]]
-    rows, columns = np.repeat([0, 1, 2], [3, 0, 1]), np.array([0, 2, 5, 1])
-    want = [0.3 + sum(model.weights[i] for i in p) + sum(model.factors[i] @ model.factors[j] for i in p for j in p if i < j) for p in present]
-    assert model.raw(rows, columns, 3) == pytest.approx(want)
+    rows, columns, sizes = np.repeat([0, 1, 2], [3, 0, 1]), np.array([0, 2, 5, 1]), np.array([7, 0, 1])
+    want = [0.3 + sum(model.weights[i] for i in p) + sum(model.factors[i] @ model.factors[j] for i in p for j in p if i < j) / max(m, 1) for p, m in zip(present, sizes, strict=True)]
+    assert model.raw(rows, columns, sizes) == pytest.approx(want)
+
+
+def test_one_doc_id_with_many_rows(spark):
+    """The driver learns from one text of each labelled doc_id, whatever the order of rows."""
+    docs, labels = corpus(spark, 200)
+    many = docs.union(docs.filter("doc_id < 20").withColumn("text", toxicity.F.lit("another text"))).union(docs.filter("doc_id = 3"))
+    one, two = (toxicity.train(frame, labels) for frame in (many, many.repartition(3)))
+    assert np.array_equal(one.terms, two.terms) and np.allclose(one.weights, two.weights)
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark):
