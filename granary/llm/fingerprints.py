@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import session_partitions
-from .sharding import known_id, ordered_parts
+from .shared import drop_written, session_partitions
+from .sharding import key_struct, known_id, long_structs, order_keys, ordered_parts
 from .textops import span_hashes
 
 SIZE = 64
@@ -122,8 +122,8 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and the likeness of its fingerprint
     to the edited text's and to the next document's.
 
-    Next: by ascending doc_id, rows of one doc_id by text (null texts count as empty, null doc_ids
-    come first); after the last the first.  Texts are exchanged once, into parts of about equal
+    Next: by ascending doc_id, rows of one doc_id by a hash of the text (null texts count as empty,
+    null doc_ids come first); after the last the first.  Texts are exchanged once, into parts of about equal
     bytes; the first document of each part also goes to the end of the part before it.  Repeated
     rows are kept; an empty table gives an empty result.
     """
@@ -134,16 +134,18 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     count = session_partitions(spark)
     part, table = ordered_parts(docs, count)
     # at most one row for each part
-    heads = sorted((r["part"], r["head"]) for r in table.groupBy(part.alias("part")).agg(F.min("_doc").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    pairs = [x for head, p in before.items() for x in (F.lit(head), F.lit(p))]
-    lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<bigint,int>")
-    previous = F.try_element_at(lookup, known_id())
-    copies = F.when(previous.isNull(), F.array(F.struct(part.alias("part"), F.lit(0).alias("tail")))).otherwise(
-        F.array(F.struct(part.alias("part"), F.lit(0).alias("tail")), F.struct(previous.alias("part"), F.lit(1).alias("tail")))
-    )
-    placed = docs.withColumn("_to", F.explode(copies)).select("doc_id", "text", F.col("_to.part").alias("part"), F.col("_to.tail").alias("tail"))
-    placed = placed.repartitionById(count, F.col("part")).sortWithinPartitions("tail", "doc_id", "text")
+    least = sorted((r["part"], [*r["head"]]) for r in table.groupBy("part").agg(F.min(F.struct("_doc", "_text")).alias("head")).collect())
+    drop_written(table)
+    heads, before = [None] * count, [0] * count
+    for i, (p, head) in enumerate(least):
+        heads[p], before[p] = head, least[i - 1][0]
+    docs = docs.withColumn("part", part).withColumn("mark", order_keys()[1])
+    first = F.get(long_structs(heads, 2), F.col("part")) == key_struct([known_id(), F.col("mark")])
+    previous = F.get(F.expr(f"array({', '.join(map(str, before))})"), F.col("part"))
+    here = F.struct(F.col("part"), F.lit(0).alias("tail"))
+    copies = F.when(first, F.array(here, F.struct(previous.alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(here))
+    placed = docs.withColumn("_to", F.explode(copies)).select("doc_id", "mark", "text", F.col("_to.part").alias("part"), F.col("_to.tail").alias("tail"))
+    placed = placed.repartitionById(count, F.col("part")).sortWithinPartitions("tail", "doc_id", "mark", "text")
 
     def rows(batches) -> Iterator[tuple]:
         for b in batches:

@@ -1,7 +1,7 @@
 """Operator 8: histogram sort into shards of nearly equal bytes.
 
 Splitters are found by counting, never by sampling: every round splits the cell that holds a
-splitter into 256 smaller ones, counts the exact bytes and rows in each over all partitions, and
+splitter into up to 256 smaller ones, counts the exact bytes and rows in each over all partitions, and
 keeps the cell that the splitter falls into, until the nearest cell border is within tolerance.
 Keys are compared level by level, so a key value that alone outweighs a shard is cut by the next
 level (and at last by the row number).  Rows are exchanged once, at the end.
@@ -17,8 +17,12 @@ from pyspark.sql import Window as W
 
 from .shared import session_partitions, written
 
-#: Bits of the key that one round resolves: 256 cells for each open splitter.
-ROUND_BITS = 8
+#: Bits of the key that one round resolves at most, and binary logarithm of the cells of a round.
+ROUND_BITS, CELL_BITS = 8, 16
+#: Share of a shard that a border may move to spare a group of equal texts.
+GROUP_SLACK = 0.02
+#: The least and the largest long.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Stands for a null doc_id.
 NO_ID = -(1 << 62)
 
@@ -44,7 +48,7 @@ def histogram_splitters(
     `df` must return the same rows each time it is read (a table, or a written one).  Every
     `major`-th border is refined to `tolerance` times a major part's weight, the others to `loose`
     times a minor part's.  A border inside one value of key level `group_level` snaps to the edge
-    of that group while this costs at most 2 % of a part.  Null keys and weights are not allowed.
+    of that group while this moves at most GROUP_SLACK of a major part.  Null keys and weights are not allowed.
     Returns the borders in order and the total (weight, rows); an empty table has borders at zero.
     """
     spans = df.agg(F.sum(weight), F.count("*"), *[f(k) for k in keys for f in (F.min, F.max)]).first()
@@ -59,7 +63,7 @@ def histogram_splitters(
         for s in active:
             s.cell = low >> bits if bits < 64 else 0
         while bits > 0 and active:
-            finer = max(0, bits - ROUND_BITS)
+            finer = max(0, bits - max(2, min(ROUND_BITS, CELL_BITS - len(active).bit_length())))
             cells = sorted({(*s.key, s.cell) for s in active})
             names = [*keys[:level], "_cell"]
             # at most one row for each splitter
@@ -84,7 +88,7 @@ def histogram_splitters(
                         break
                     below, count, cell = below + w, count + n, fine + 1
                 s.below_bytes, s.below_rows, s.cell = below, count, cell
-                snap = 0.02 * whole if finer == 0 and level == group_level else 0
+                snap = GROUP_SLACK * whole if finer == 0 and level == group_level else 0
                 if s.target - below <= max(s.tolerance, snap) or inside == (0, 0):
                     s.settled = True
                 elif below + inside[0] - s.target <= max(s.tolerance, snap):
@@ -98,27 +102,44 @@ def histogram_splitters(
     return splitters, (total, rows)
 
 
-def _before(keys: list[Column], border: list[int]) -> Column:
-    """Whether a row's key lies before the border (whose missing levels are the least)."""
-    out = F.lit(False)
-    for key, value in reversed(list(zip(keys, border, strict=False))):
-        # a border one past the largest long has every row before it
-        less = F.lit(True) if value > (1 << 63) - 1 else key < F.lit(value)
-        same = F.lit(False) if value > (1 << 63) - 1 else key == F.lit(value)
-        out = less | (same & out)
-    return out
+def long_structs(rows: list[list[int] | None], width: int) -> Column:
+    """A literal array of structs k0, k1, ... of `width` longs (or nulls), written as one expression."""
+    kind = ", ".join(f"k{i}: BIGINT" for i in range(width))
+    items = ["NULL" if r is None else f"named_struct({', '.join(f'\'k{i}\', {v}L' for i, v in enumerate(r))})" for r in rows]
+    return F.expr(f"CAST(array({', '.join(items)}) AS ARRAY<STRUCT<{kind}>>)")
+
+
+def key_struct(keys: list[Column]) -> Column:
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def _least_key(border: list[int], levels: int) -> list[int] | None:
+    """The least whole key at or after a border, whose missing levels are the least; None if no key is."""
+    key = list(border)
+    while key and key[-1] > MOST:  # one past the largest long
+        key.pop()
+        if key:
+            key[-1] += 1
+    return [*key, *[LEAST] * (levels - len(key))] if key else None
 
 
 def part_of(keys: list[Column], splitters: list[Splitter]) -> Column:
-    """The number of borders at or before a row's key, as a balanced tree of comparisons."""
+    """The number of borders at or before a row's key, by binary search over their literal array.
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_before(keys, splitters[mid].key), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    The expression has one step for each bit of the number of borders, however many these are.
+    """
+    borders = [key for s in splitters if (key := _least_key(s.key, len(keys)))]
+    if not borders:
+        return F.lit(0)
+    table = long_structs(borders, len(keys))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(borders).bit_length()))])
+
+    def step(state: Column, size: Column) -> Column:
+        further = state["at"] + size
+        # beyond the array there is no border, and null is not at or before the key
+        return F.struct(F.when(F.get(table, further - 1) <= state["key"], further).otherwise(state["at"]).alias("at"), state["key"].alias("key"))
 
-    return tree(0, len(splitters))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), key_struct(keys).alias("key")), step, lambda state: state["at"])
 
 
 def known_id() -> Column:
@@ -150,7 +171,7 @@ def histogram_shards(table: DataFrame, keys: list[str], weight: str, shards: int
     fine = max(1, -(-2 * session_partitions(table.sparkSession) // shards))
     splitters, (_, rows) = histogram_splitters(table, keys, weight, shards * fine, tolerance, major=fine)
     starts = [0, *[s.below_rows for s in splitters]]
-    offsets = F.array(*[F.lit(starts[i] - starts[i - i % fine]) for i in range(len(starts))])
+    offsets = F.expr(f"array({', '.join(f'{n - starts[i - i % fine]}L' for i, n in enumerate(starts))})")
     return (
         table.withColumn("_part", part_of([F.col(k) for k in keys], splitters))
         .withColumn("shard", F.expr(f"cast(_part div {fine} as int)"))
@@ -162,8 +183,9 @@ def histogram_shards(table: DataFrame, keys: list[str], weight: str, shards: int
 def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24) -> DataFrame:
     """Every document with its size, shard and slot, by law `bytes`.
 
-    Order: hash of the text, doc_id, row; equal texts stay side by side, and a border goes through
-    a group of them only where the group is too large to be moved whole.  Null texts count 8 bytes;
+    Order: hash of the text, doc_id, row, so equal texts stay side by side.  A border that falls into
+    a group of them moves to an edge of the group while this moves at most GROUP_SLACK of a shard's
+    bytes; only a larger group is cut, by doc_id and then by row.  Null texts count 8 bytes;
     repeated rows are kept; an empty table gives an empty result.
     """
     table = sized_keys(docs, [F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32")])
@@ -171,9 +193,15 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24) -> D
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def order_keys() -> list[Column]:
+    """What orders documents: doc_id, then a hash of the text, so that one doc_id may fill many parts."""
+    return [known_id(), F.xxhash64(F.coalesce("text", F.lit("")))]
+
+
 def ordered_parts(docs: DataFrame, parts: int) -> tuple[Column, DataFrame]:
-    """Cuts documents by ascending doc_id into parts of about equal bytes: the part of a row, and
-    the written key table.  Rows that share a doc_id stay in one part."""
-    table = sized_keys(docs)
-    splitters, _ = histogram_splitters(table, ["_doc"], "size", parts, tolerance=0.02)
-    return part_of([known_id()], splitters), table
+    """Cuts documents by order_keys() into parts of about equal bytes: the part of a row, and the
+    written table of their keys _doc and _text.  Rows of one doc_id and one text stay in one part."""
+    doc, text = order_keys()
+    table = written(docs.select(doc.alias("_doc"), text.alias("_text"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size")), "sizes")
+    splitters, _ = histogram_splitters(table, ["_doc", "_text"], "size", parts, tolerance=0.02, group_level=-1)
+    return part_of(order_keys(), splitters), table.withColumn("part", part_of([F.col("_doc"), F.col("_text")], splitters))

@@ -1,6 +1,6 @@
 """Operator 3: token ids in the Arrow stream-file format, cut into fixed-size lists.
 
-Documents are cut by ascending doc_id into parts of about equal bytes; each part becomes one pair
+Documents are cut by ascending doc_id (rows of one doc_id by a hash of the text) into parts of about equal bytes; each part becomes one pair
 of files in the shared folder.  `tokens-*.arrow` holds record batches of BATCH sequences, each a
 fixed-size list of LENGTH ids with a mask of the same shape (false on the padding that ends a file), so
 sequence i lies in batch i // BATCH and is reached without parsing or copying.  `docs-*.arrow`
@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, open_folder, session_partitions, written
-from .sharding import ordered_parts
+from .shared import drop_written, new_folder, open_folder, session_partitions, written
+from .sharding import order_keys, ordered_parts
 from .textops import encoder, slices, text_buffers
 
 LENGTH, BATCH = 2048, 256
@@ -100,16 +100,24 @@ class TokenFile:
         self.length = self.tokens.schema.field("ids").type.list_size
         self.batch = self.tokens.get_batch(0).num_rows if self.tokens.num_record_batches else 1
 
+        self._held: tuple[int, pa.RecordBatch] | None = None
+
     def _open(self, path: str):
         return pa.memory_map(path) if self.fs.type_name == "local" else self.fs.open_input_file(path)
 
+    def _batch(self, batch: int) -> pa.RecordBatch:
+        """A record batch; the last one is kept, as a store that cannot be mapped reads it anew each time."""
+        if self._held is None or self._held[0] != batch:
+            self._held = batch, self.tokens.get_batch(batch)
+        return self._held[1]
+
     def _flat(self, batch: int, column: str) -> np.ndarray:
-        return self.tokens.get_batch(batch).column(column).flatten().to_numpy(zero_copy_only=True)
+        return self._batch(batch).column(column).flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """The ids and the mask of sequence i, both views into the file."""
         lo = i % self.batch * self.length
-        mask = self.tokens.get_batch(i // self.batch).column("mask").flatten()
+        mask = self._batch(i // self.batch).column("mask").flatten()
         return self._flat(i // self.batch, "ids")[lo : lo + self.length], mask.slice(lo, self.length)
 
     def spans(self, start: int, n: int) -> Iterator[np.ndarray]:
@@ -131,15 +139,17 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, length:
     """Encodes whole texts (null: empty) and writes them in ascending doc_id order.
 
     Returns the folder and the manifest, one row per file: part, name, n_docs, n_tokens.  Rows that
-    share a doc_id are written next to each other, ordered by text; null doc_ids come first; an
-    empty table writes no file.
+    share a doc_id are written next to each other, ordered by a hash of the text, into as many files
+    as they fill; null doc_ids come first; an empty table writes no file.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
     count = parts or session_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    part, _ = ordered_parts(docs, count)
-    placed = docs.withColumn("part", part).repartitionById(count, F.col("part")).sortWithinPartitions("doc_id", "text")
+    part, sizes = ordered_parts(docs, count)
+    drop_written(sizes)
+    placed = docs.select("*", part.alias("part"), order_keys()[1].alias("mark")).repartitionById(count, F.col("part"))
+    placed = placed.sortWithinPartitions("doc_id", "mark", "text").drop("mark")
 
     def write(batches):
         writer, name, first, rows = None, "", 0, 0

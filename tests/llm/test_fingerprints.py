@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import xxhash
 
 from granary.llm import fingerprints as fp
 from granary.llm.textops import span_hashes
@@ -24,6 +25,11 @@ def plain_print(text):
     return sorted(hashes)[:64]
 
 
+def text_mark(text):
+    """xxhash64 as Spark computes it, signed."""
+    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 42)).astype(np.int64))
+
+
 def shown(hashes):
     return "".join(f"{h:08x}" for h in hashes)
 
@@ -37,7 +43,7 @@ def plain_likeness(a, b):
 
 def brute(docs):
     """Rows as the query must give them, from phrase sets."""
-    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, text_mark(d[1])))
     out = []
     for k, (i, t) in enumerate(docs):
         t, n = t or "", docs[(k + 1) % len(docs)][1] or ""
@@ -79,7 +85,7 @@ def test_query_equals_brute_force(spark, docs, texts):
 
 def test_odd_tables(spark, docs):
     assert fp.fingerprint_with_edits(docs.filter("false")).collect() == []
-    for rows in ([(7, "only one text here")], [(7, None)], [(3, "b"), (3, "a"), (None, "x"), (None, None), (9, "zz")], [(1, "same")] * 5):
+    for rows in ([(7, "only one text here")], [(7, None)], [(3, "b"), (3, "a"), (None, "x"), (None, None), (9, "zz")], [(1, "same")] * 5, [(1, f"text {k} of one id") for k in range(60)]):
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         assert sorted((tuple(r) for r in fp.fingerprint_with_edits(frame).collect()), key=repr) == brute(rows)
 

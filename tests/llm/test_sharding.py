@@ -2,7 +2,11 @@ import random
 import zlib
 from collections import defaultdict
 
-from granary.llm.sharding import histogram_splitters, shard_documents
+import time
+
+from pyspark.sql import functions as F
+
+from granary.llm.sharding import Splitter, histogram_splitters, part_of, shard_documents
 
 
 def placed(spark, rows, shards):
@@ -51,3 +55,16 @@ def test_splitters_count_exactly(spark):
         assert (total, count) == (sum(w for _, w in rows), 2000)
         for s in splitters:
             assert s.below_bytes == sum(w for k, w in rows if k < s.key[0]) and s.below_rows == sum(k < s.key[0] for k, _ in rows)
+
+
+def test_many_borders(spark):
+    """Parts by binary search equal a count of the borders; planning stays short at any number of them."""
+    r = random.Random(6)
+    borders = sorted([r.randint(-50, 50), r.choice([-(2**63), r.randint(0, 9), 2**63])] for _ in range(2500)) + [[2**63]]
+    rows = [(r.randint(-60, 60), r.randint(-1, 10)) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "a long, b long").repartition(2)
+    began = time.time()
+    got = frame.withColumn("p", part_of([F.col("a"), F.col("b")], [Splitter(0, 0, k) for k in borders])).collect()
+    assert time.time() - began < 10
+    assert all(x["p"] == sum((x["a"], x["b"]) >= tuple(k) for k in borders[:-1]) for x in got)
+    assert spark.range(3).withColumn("p", part_of([F.col("id")], [])).filter("p <> 0").isEmpty()

@@ -63,6 +63,15 @@ def test_token_files_of_nothing(spark, docs, vocabulary):
     assert [r["doc_id"] for r in sorted(token_files.read_token_files(spark, folder, manifest).collect(), key=lambda r: r["start"])] == [None, None, 2]
 
 
+def test_one_doc_id_fills_many_files(spark, vocabulary):
+    docs = spark.createDataFrame([(7 if k % 3 else k, f"text {k} " * 30) for k in range(300)], "doc_id long, text string")
+    folder, manifest = token_files.write_token_files(docs, vocabulary("byte_bpe_50k.json"), parts=6)
+    files = manifest.collect()
+    assert len(files) == 6 and max(r["n_docs"] for r in files) < 80
+    rows = sorted(token_files.read_token_files(spark, folder, manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows) and sum(r["n_tokens"] for r in rows) == rows[-1]["start"] + rows[-1]["n_tokens"]
+
+
 def check_packing(rows, want):
     sequences, cover = {}, {}
     for doc_id, start, length, crc, total, sequence, offset in rows:
