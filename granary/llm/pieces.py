@@ -9,7 +9,10 @@ best paths of its words (space marks, then other characters); a worker remembers
 
 A unigram model's scores are used as they are.  A BPE model's are merge ranks r, no log
 probabilities, and adding ranks would favour many short pieces; they count as -ln(1 + r), Zipf's law.
-Viterbi over these is the best-scoring cut, which is not always the one that BPE's merges reach.
+Viterbi over these is the best-scoring cut, which is not always the one that BPE's merges reach, so
+the ids that the public library gives by the model's own algorithm are at hand beside it
+(`PieceModel.library_ids`, `library` columns); they too are remembered by word, as no piece and so no
+merge crosses the start of a word.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from .textops import slices, text_buffers
 MARK = "▁"
 #: Below the least score of a piece, for a character without one; as in the public library.
 UNKNOWN_PENALTY = 10.0
+#: Longer words are not remembered.
+KEEP_CHARACTERS = 64
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 # Kinds of piece in the public model format.
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
@@ -39,6 +45,7 @@ class PieceModel:
 
     def __init__(self, path: str, keep: int = 600_000):
         import ahocorasick
+        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -64,7 +71,9 @@ class PieceModel:
         for i, piece, score in normal:
             self.automaton.add_word(piece, (i, len(piece), score))
         self.automaton.make_automaton()
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.known: dict[str, bytes] = {}
+        self.library_known: dict[str, bytes] = {}
         self.keep = keep
 
     def viterbi(self, word: str) -> list[int]:
@@ -102,20 +111,35 @@ class PieceModel:
             n -= length
         return out[::-1]
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers; null and empty texts have none."""
+    def _by_words(self, text: str | None, known: dict[str, bytes], ids_of: Callable[[str], list[int]]) -> bytes:
         if not text:
             return b""
         words = _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
-        known = self.known
         new = set(words).difference(known)
         if new:
             if len(known) + len(new) > self.keep:
                 known.clear()
                 new = set(words)
             for w in new:
-                known[w] = np.array(self.viterbi(w), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+                known[w] = np.array(ids_of(w), "<u4").tobytes()
+        out = b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > KEEP_CHARACTERS:
+                del known[w]
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers; null and empty texts have none."""
+        return self._by_words(text, self.known, self.viterbi)
+
+    def library_ids(self, text: str | None) -> bytes:
+        """Ids of a text by the public library, in the same form."""
+
+        def ids(word: str) -> list[int]:
+            # without a text the library adds no mark either
+            return [self.library.piece_to_id(MARK)] if self.prefix and word == MARK else self.library.encode(word[self.prefix :].replace(MARK, " "))
+
+        return self._by_words(text, self.library_known, ids)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, control and unknown ids nothing."""
@@ -176,18 +200,21 @@ def decode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: doc_id, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers),
-    decoded_crc32 (UTF-8 of the decoded ids) and whether the decoded text equals the source.
+    decoded_crc32 (UTF-8 of the decoded ids), whether the decoded text equals the source, and
+    n_library and library_crc32 of the public library's ids.
 
     A null text counts as empty.  Encodes and decodes in one pass over each batch, without shuffle.
     """
 
+    names = ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip", "n_library", "library_crc32"]
+
     def digest(batches):
         for b in batches:
             model = piece_model(model_path)
             ids, texts = b.column("doc_id"), b.column("text")
             _, offsets = text_buffers(texts)
             for lo, hi in slices(offsets):
-                n, crc, back, same = [], [], [], []
+                n, crc, back, same, library_n, library_crc = [], [], [], [], [], []
                 for t in texts.slice(lo, hi - lo).to_pylist():
                     got = model.encode(t)
                     text = model.decode(np.frombuffer(got, "<u4"))
@@ -195,6 +222,9 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
                     crc.append(zlib.crc32(got))
                     back.append(zlib.crc32(text.encode()))
                     same.append(text == (t or ""))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *[pa.array(c, pa.int64()) for c in (n, crc, back)], pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
+                    given = model.library_ids(t)
+                    library_n.append(len(given) // 4)
+                    library_crc.append(zlib.crc32(given))
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *[pa.array(c, pa.int64()) for c in (n, crc, back)], pa.array(same), *[pa.array(c, pa.int64()) for c in (library_n, library_crc)]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, n_library long, library_crc32 long")

@@ -160,7 +160,7 @@ class CachedEncoder:
     cuts between these, so the ids of a text are those of its chunks in order.  What is not
     remembered goes to the library a thousand chunks at a time, set apart by newlines, whose id
     occurs in no chunk of non-spaces; letters are one pre-token each and skip the pre-tokeniser.
-    The first `keep` chunks are remembered, later ones for the length of a call only.
+    The first `keep` chunks of at most 64 characters are remembered, others for the length of a call only.
     Texts that hold an added token's string, and vocabularies of another kind, are encoded whole.
     """
 
@@ -221,8 +221,10 @@ class CachedEncoder:
         self._learn(new)
         get = self.known.__getitem__
         out = [self._ids(t) if t and any(s in t for s in self.special) else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
-        for chunk in new[max(0, self.keep - len(self.known) + len(new)) :]:
-            del self.known[chunk]
+        spare = max(0, self.keep - len(self.known) + len(new))
+        for k, chunk in enumerate(new):
+            if k >= spare or len(chunk) > 64:
+                del self.known[chunk]
         return out
 
 

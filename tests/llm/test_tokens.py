@@ -195,7 +195,17 @@ def test_sentencepiece(texts, docs, vocabulary):
     back = pieces.decode_pieces(coded, path).collect()
     assert len(back) == len(texts) + 1 and all(r["decoded"] == r["text"] and (r["ids"] is None) == (r["text"] is None) for r in back)
     digests = {r["doc_id"]: r for r in pieces.piece_digests(docs, path).collect()}
+    plain = sp.SentencePieceProcessor(model_file=path)
     for i, t in enumerate(texts):
         coded = model.encode(t)
+        own = np.array(plain.encode(t or ""), "<u4")
+        assert np.frombuffer(model.library_ids(t), "<u4").tolist() == own.tolist()
+        assert (digests[i]["n_library"], digests[i]["library_crc32"]) == (len(own), zlib.crc32(own.tobytes()))
         assert (digests[i]["n_pieces"], digests[i]["ids_crc32"], digests[i]["round_trip"]) == (len(coded) // 4, zlib.crc32(coded), True)
     assert pieces.piece_digests(docs.filter("false"), path).collect() == []
+
+
+def test_long_words_are_not_remembered(vocabulary):
+    model = pieces.PieceModel(vocabulary("piece_bpe_32k.model"))
+    model.encode("short " + "x" * 100)
+    assert "▁short" in model.known and max(map(len, model.known)) <= pieces.KEEP_CHARACTERS
