@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import near_dedup, packing, pii, toxicity
 from granary.llm.queries import table, vocabulary
-from granary.llm.shared import written
+from granary.llm.shared import drop_written, free_name, written
 
 #: Percent of shared five-word shingles from which two documents count as copies.
 SIMILAR = 80
@@ -22,16 +22,18 @@ SIMILAR = 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the toxicity model, learned from `labels`, scores below 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxicity").filter(F.col("_toxicity") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "_toxicity")
+    return toxicity.score(docs, model, name).filter(F.col(name) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of SIMILAR documents the row of least doc_id; of rows that share it one text's,
     once.  Rows without an id or without words are all kept."""
     rows = near_dedup.components(docs, SIMILAR).filter("doc_id is not null and label is not null")
-    kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("head")).select("head.doc_id", F.col("head.mark").alias("_mark"))
+    mark = free_name(docs, "_mark")
+    kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("head")).select("head.doc_id", F.col("head.mark").alias(mark))
     lone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    named = docs.filter(~lone).withColumn("_mark", F.xxhash64("text")).join(kept, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
+    named = docs.filter(~lone).withColumn(mark, F.xxhash64("text")).join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(lone))
 
 
@@ -59,5 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(docs)
+        docs = done
     return docs

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, open_folder, session_partitions, written
+from .shared import new_folder, open_folder, others, session_partitions, written
 from .textops import hash_tokens, mix64, slices, text_buffers
 
 U = np.uint64
@@ -489,7 +489,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
     nothing is shuffled.
     """
     made = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
-    names = [c for c in docs.columns if c not in made and c != "text"]
+    names = others(docs, *made, "text")
     below = math.log10(model.tokens + 0.1 * (model.vocabulary + 1))
 
     def run(batches):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import with_field
+from .shared import others, with_field
 from .textops import slices, text_buffers
 
 MARK = "▁"
@@ -161,7 +161,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
     Keeps the input's columns; `ids` replaces a column of that name.  Nothing is shuffled.
     """
-    names = [c for c in docs.columns if c != "ids"]
+    names = others(docs, "ids")
 
     def encode(batches):
         for b in batches:
@@ -183,7 +183,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
 def decode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """Rows with `ids`, and `decoded`: their text, null for null ids."""
-    names = [c for c in docs.columns if c != "decoded"]
+    names = others(docs, "decoded")
 
     def decode(batches):
         for b in batches:

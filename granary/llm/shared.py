@@ -75,3 +75,17 @@ def session_partitions(spark: SparkSession) -> int:
 
 def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of the frame has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of the frame but those called `names` in any case."""
+    left_out = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in left_out]

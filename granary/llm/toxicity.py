@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import with_field
+from .shared import others, with_field
 from .textops import cut_tokens, slices, sorted_unique, span_hashes, text_buffers
 
 #: Labelled rows learned from at most: those with the smallest hash of their doc_id.
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: FactorizationMachine, name: str = "score") ->
     Null and empty texts get the score of a text without known terms.  A column called `name` is
     replaced; nothing is shuffled.
     """
-    names = [c for c in docs.columns if c != name]
+    names = others(docs, name)
     terms, bias, weights, factors = model.terms, model.bias, model.weights, model.factors
 
     def add(batches):

@@ -81,3 +81,14 @@ def test_rows_that_share_an_id(spark):
     got = [(r["doc_id"], " ".join(r["text"].lower().split()) if r["text"] else r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     want = [(0, "yet another text"), (1, "another text that is not like it"), (1, "one text of its own here"), (4, ""), (4, None), (None, "one text of its own here")]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Columns beyond those of the contract pass through, whatever they are called."""
+    names = ["_toxicity", "_Mark", "mark", "label", "node", "_salt", "ids", "score"]
+    rows = [(1, "one text of its own here", *[f"{n} 1" for n in names]), (2, "one text of its own here", *[f"{n} 2" for n in names])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "test")
+    assert docs.columns == ["doc_id", "text", *names] and [tuple(r) for r in docs.collect()] == rows[:1]
