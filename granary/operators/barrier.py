@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,24 +107,33 @@ def _fail(message: str, **where) -> None:
     raise SchemaBarrierError(message, **where)
 
 
-def validate_aligned(aligned: DataFrame) -> DataFrame:
+def validate_aligned(aligned: DataFrame, *, keep: bool = False) -> DataFrame:
     """The typed canonical frame, or SchemaBarrierError for the first violation in file order.
 
-    Two small actions: one aggregate finds the first bad row; only if there is none, another looks
-    for repeated (sku, day) keys and reports the first row that belongs to any.
+    Two small actions: one aggregate counts the rows and finds the first bad one; only if there is
+    none, another looks for repeated (sku, day) keys and reports the first row that belongs to any.
+    `keep` persists the typed frame before the second, for callers that read it again; they may
+    unpersist it.
     """
     columns = tuple(c for c in aligned.columns if c != ROW_INDEX)
     if columns != CANONICAL:
         _fail(f"columns must be {list(CANONICAL)}, got {list(columns)}")
     if ROW_INDEX not in aligned.columns:
         aligned = aligned.withColumn(ROW_INDEX, F.monotonically_increasing_id())
-    if aligned.isEmpty():
+    rows = judged(aligned)
+    bad_at = F.when(F.col("_prio").isNotNull(), F.col(ROW_INDEX))
+    seen = rows.agg(F.count("*").alias("n"), F.min_by(F.struct(F.col(ROW_INDEX).alias("row_index"), "_v"), bad_at).alias("bad")).first()
+    if not seen["n"]:
         _fail("the frame has no rows")
-    bad = first_violation(aligned).first()
-    if bad:
-        _fail(bad["message"], row_index=bad["row_index"], column=bad["column"], raw_value=bad["raw_value"])
-    done = accepted(judged(aligned))
+    if seen["bad"]:
+        bad = seen["bad"]["_v"]
+        _fail(bad["message"], row_index=seen["bad"]["row_index"], column=bad["column"], raw_value=bad["raw_value"])
+    done = accepted(rows)
+    if keep:
+        done = done.persist(StorageLevel.MEMORY_AND_DISK)
     twice = duplicate_keys(done, ["sku_id", "timestamp"], ROW_INDEX).agg(F.min("first_row").alias("first_row")).first()
     if twice["first_row"] is not None:
+        if keep:
+            done.unpersist()
         _fail("a sku has more than one row for a day", row_index=twice["first_row"])
     return done.select(*CANONICAL)

@@ -19,15 +19,24 @@ def _check_columns(frame: DataFrame) -> None:
         raise TemporalContinuityError(f"missing columns: {missing}")
 
 
-def regrid_unique(frame: DataFrame) -> DataFrame:
+#: How the error of an overlong span begins where the running plan finds it.
+SPAN_ERROR = "too long a span of days"
+
+
+def regrid_unique(frame: DataFrame, max_span_days: int = MAX_SPAN_DAYS) -> DataFrame:
     """The daily panel of barrier output (unique sku and day, midnights, no nulls).
 
     Each observation is spread over the days up to the next one of its SKU: no join, one exchange
-    on the SKU.  Rows are not sorted across the result.
+    on the SKU, and no pass before it.  An SKU that spans `max_span_days` or more days makes the plan
+    fail with SPAN_ERROR.  Rows are not sorted across the result.
     """
     by_sku = W.partitionBy("sku_id").orderBy("timestamp")
-    until = F.coalesce(F.lead("timestamp").over(by_sku) - F.expr(DAY), F.col("timestamp"))
-    spread = frame.select(*CANONICAL, until.alias("_until")).select("sku_id", "timestamp", "demand_qty", "lead_time_days", F.explode(F.sequence("timestamp", "_until", F.expr(DAY))).alias("_day"))
+    following = F.coalesce(F.lead("timestamp").over(by_sku), F.col("timestamp"))
+    placed = frame.select(*CANONICAL, following.alias("_next"), F.first("timestamp").over(by_sku).alias("_first"))
+    days = F.datediff("_next", "_first")
+    checked = F.when(days < max_span_days, F.col("_next")).otherwise(F.raise_error(F.concat(F.lit(f"{SPAN_ERROR}: sku "), F.col("sku_id"), F.lit(" has "), days + 1)))
+    until = F.greatest(checked - F.expr(DAY), F.col("timestamp"))
+    spread = placed.select(*CANONICAL, F.explode(F.sequence("timestamp", until, F.expr(DAY))).alias("_day"))
     demand = F.when(F.col("_day") == F.col("timestamp"), F.col("demand_qty").cast("double")).otherwise(F.lit(0.0))
     return spread.select("sku_id", F.col("_day").alias("timestamp"), demand.alias("demand_qty"), F.col("lead_time_days").cast("long").alias("lead_time_days"))
 
@@ -48,11 +57,16 @@ def join_grid(grid: DataFrame, frame: DataFrame) -> DataFrame:
     return grid.join(frame, ["sku_id", "timestamp"], "left")
 
 
+def last_known(value: str) -> Column:
+    """The SKU's last known value up to the day."""
+    before = W.partitionBy("sku_id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(before)
+
+
 def carried(value: str) -> Column:
     """Last known value of the SKU up to the day; before the first known one, that one."""
-    before = W.partitionBy("sku_id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.col("timestamp"))
-    return F.coalesce(F.last(value, ignorenulls=True).over(before), F.min_by(value, known).over(W.partitionBy("sku_id")))
+    return F.coalesce(last_known(value), F.min_by(value, known).over(W.partitionBy("sku_id")))
 
 
 def regrid_general(frame: DataFrame) -> DataFrame:
@@ -65,6 +79,11 @@ def regrid_general(frame: DataFrame) -> DataFrame:
     return joined.select("sku_id", "timestamp", F.coalesce(F.col("demand_qty").cast("double"), F.lit(0.0)).alias("demand_qty"), carried("lead_time_days").cast("long").alias("lead_time_days"))
 
 
+def in_order(panel: DataFrame) -> DataFrame:
+    """The panel by SKU and day, which is the order of files: a range exchange, sorted in each part."""
+    return panel.orderBy("sku_id", "timestamp")
+
+
 def broken_steps(panel: DataFrame) -> DataFrame:
     """Rows that do not follow their SKU's previous row by exactly one day."""
     step = F.col("timestamp") - F.lag("timestamp").over(W.partitionBy("sku_id").orderBy("timestamp"))
@@ -88,19 +107,24 @@ def _unique(frame: DataFrame) -> bool:
 def regrid_daily(frame: DataFrame, *, validated: bool = False, max_span_days: int = MAX_SPAN_DAYS) -> DataFrame:
     """One row per SKU and day between the SKU's first and last one.
 
-    `validated` says that the frame passed the barrier; else its preconditions are checked and the
-    general plan is used where they fail.  Raises TemporalContinuityError for missing columns, an
-    empty frame, repeated days, an SKU without any lead time, or a span beyond `max_span_days`.
+    `validated` says that the frame passed the barrier, which leaves nothing to look at before the
+    plan runs: only an overlong span is left to find, and the running plan does (see regrid_unique()).
+    Else the preconditions are checked and the general plan is used where they fail.  Raises
+    TemporalContinuityError for missing columns and, unless `validated`, for an empty frame, repeated
+    days, an SKU without any lead time, or a span of `max_span_days` or more.
     """
     _check_columns(frame)
     frame = frame.select("sku_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "demand_qty", "lead_time_days")
-    spans = grid_bounds(frame).agg(F.count("*").alias("n"), F.max_by("sku_id", F.datediff("last_day", "first_day")).alias("sku"), F.max(F.datediff("last_day", "first_day")).alias("days")).first()
+    if validated:
+        return regrid_unique(frame, max_span_days)
+    days = F.datediff("last_day", "first_day")
+    spans = grid_bounds(frame).agg(F.count("*").alias("n"), F.max_by("sku_id", days).alias("sku"), F.max(days).alias("days")).first()
     if not spans["n"]:
         raise TemporalContinuityError("the frame has no rows to lay on a grid")
     if (spans["days"] or 0) >= max_span_days:
         raise TemporalContinuityError(f"sku {spans['sku']} spans {spans['days'] + 1} days, more than {max_span_days}")
-    if validated or _unique(frame):
-        return regrid_unique(frame)
+    if _unique(frame):
+        return regrid_unique(frame, max_span_days)
     panel = regrid_general(frame)
     empty = panel.filter("lead_time_days is null").select("sku_id").first()
     if empty:

@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..contract import CANONICAL, HeaderMapping
 from ..functions import parsing
+from ..layout import deposit_raw_csv, ensure_data_layout
 from ..operators import align, barrier, diagnostics, forecast, regrid
 from ..sources import csv_files
 from ..sources.csv_files import ROW_INDEX
-from ..streaming.barrier import split_stream
+from ..sources.parquet_files import export_parquet, read_panel
+from ..streaming.barrier import daily_totals, split_stream
 from ..workspace import new_path
 from .ingest import run_semantic_pipeline
 
@@ -37,7 +42,8 @@ def canonical_projection(spark, sf_dir):
 
 
 def header_sample(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(align.SAMPLE_ROWS).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return spark.createDataFrame(align.sample_rows(lines.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), lines.schema)
 
 
 def case_insensitive_resolve(spark, sf_dir):
@@ -109,17 +115,12 @@ def gap_count_per_sku(spark, sf_dir):
 
 
 def _with_holes(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     place = F.row_number().over(W.partitionBy("sku_id").orderBy("timestamp"))
     return observations_daily(spark, sf_dir).withColumn("_place", place).withColumn("lead_time_days", F.when(F.col("_place") % 3 != 1, F.col("lead_time_days")))
 
 
 def lead_ffill(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy("sku_id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
-    return _with_holes(spark, sf_dir).select("sku_id", "timestamp", F.last("lead_time_days", ignorenulls=True).over(before).alias("lead_time_days"))
+    return _with_holes(spark, sf_dir).select("sku_id", "timestamp", regrid.last_known("lead_time_days").alias("lead_time_days"))
 
 
 def lead_bfill(spark, sf_dir):
@@ -163,10 +164,25 @@ def panel_union(spark, sf_dir):
     return panel.filter("demand_qty > 0").unionByName(panel.filter("demand_qty = 0"))
 
 
+def _local_root(spark, name):
+    """A data root for the operators that work on zones of a mounted folder."""
+    return Path(urlsplit(new_path(spark, name)).path)
+
+
 def panel_parquet_roundtrip(spark, sf_dir):
-    path = new_path(spark, "panel")
-    _panel(spark, sf_dir).write.option("compression", "snappy").parquet(path)
-    return spark.read.parquet(path)
+    root = _local_root(spark, "panel")
+    path = export_parquet(_panel(spark, sf_dir), ensure_data_layout(root).processed / "panel.parquet", data_root=root)
+    return read_panel(spark, str(path))
+
+
+def panel_output_order(spark, sf_dir):
+    """Each row of the exported panel with its place: by file, then in the file."""
+    root = _local_root(spark, "ordered")
+    path = export_parquet(regrid.in_order(_panel(spark, sf_dir)), ensure_data_layout(root).processed / "panel.parquet", data_root=root)
+    rows = spark.read.parquet(str(path)).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("inside"))
+    files = rows.groupBy("file").agg(F.count("*").alias("n"))  # one row for each file
+    before = files.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "file").select(*CANONICAL, (F.col("before") + F.col("inside")).alias("place"))
 
 
 def last_season(spark, sf_dir):
@@ -264,6 +280,18 @@ def stream_barrier(spark, sf_dir):
     return spark.read.schema(accepted.schema).parquet(out).withColumnRenamed(ROW_INDEX, "row_index")
 
 
+def stream_daily_totals(spark, sf_dir):
+    """Shipped quantities by supplier and day through Structured Streaming, over everything there is now."""
+    path, out, state = (new_path(spark, n) for n in ("lines", "totals", "state"))
+    lines = _table(spark, sf_dir, "lineitem")
+    lines.select(F.col("l_suppkey").cast("string").alias("sku_id"), F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("demand_qty"), F.col("l_linenumber").alias("lead_time_days")).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    totals = daily_totals(stream)
+    kept = totals.writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    kept.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(totals.schema).parquet(out).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
 def duplicate_keys(spark, sf_dir):
     days = _table(spark, sf_dir, "events").select("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_id")
     return barrier.duplicate_keys(days, ["user_id", "day"], "event_id")
@@ -300,15 +328,21 @@ def lead_parse(spark, sf_dir):
 
 
 def file_sha256(spark, sf_dir):
-    return csv_files.sha256_of_files(spark, f"{sf_dir}/region.parquet").select("sha256")
+    """Every table's file with its hash."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return csv_files.sha256_of_files(spark, f"{sf_dir}/*.parquet").select(name.alias("file"), "sha256")
 
 
 def csv_text_extract(spark, sf_dir):
-    """The supplier table through CSV: every column text, in file order."""
-    path = new_path(spark, "csv")
-    _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").coalesce(1).write.option("header", True).csv(path)
-    schema = ", ".join(f"c{i} string" for i in range(3))
-    return spark.read.schema(schema).options(header=True, **{k: v for k, v in csv_files._OPTIONS.items() if k != "columnNameOfCorruptRecord"}).csv(path).toDF("s_suppkey", "s_name", "s_nationkey")
+    """Events as a CSV of the raw zone, with quotes, commas, line breaks and empty fields, extracted:
+    every column text, in file order."""
+    root = _local_root(spark, "extract")
+    note = F.when(F.col("event_id") % 5 == 0, F.lit('a "quoted", line\nbreak')).when(F.col("event_id") % 5 == 1, F.lit("")).when(F.col("event_id") % 5 == 2, F.lit(" NA ")).otherwise(F.col("event_type"))
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", note.alias("note")).orderBy("event_id")
+    parts = root / "written"
+    rows.coalesce(1).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(str(parts))
+    source = deposit_raw_csv(next(parts.glob("*.csv")).rename(root / "events.csv"), data_root=root)
+    return csv_files.extract_csv(spark, source, data_root=root).frame.withColumnRenamed(ROW_INDEX, "row_index")
 
 
 # --- extensions ---------------------------------------------------------------------------------
@@ -363,6 +397,7 @@ QUERIES: dict[str, Query] = {
         continuity_check,
         panel_union,
         panel_parquet_roundtrip,
+        panel_output_order,
         last_season,
         seasonal_naive_forecast,
         seasonal_naive_per_sku,
@@ -370,6 +405,7 @@ QUERIES: dict[str, Query] = {
         barrier_first_violation,
         typed_observations,
         stream_barrier,
+        stream_daily_totals,
         duplicate_keys,
         sku_strip,
         timestamp_iso_parse,
@@ -420,7 +456,12 @@ ORACLE_SQL: dict[str, str] = {
     "demand_parse": """SELECT event_id, CASE event_id % 12 WHEN 0 THEN 1000.0 WHEN 1 THEN NULL WHEN 2 THEN 1000.0 WHEN 3 THEN 0.5 WHEN 4 THEN 5.0 WHEN 5 THEN CAST('inf' AS DOUBLE)
         WHEN 6 THEN NULL WHEN 7 THEN NULL WHEN 8 THEN 2.0 WHEN 9 THEN NULL ELSE CAST(event_id AS DOUBLE) END AS demand_qty FROM events""",
     "lead_parse": "SELECT event_id, CAST(CASE event_id % 7 WHEN 0 THEN 17 WHEN 1 THEN 1000 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE nullif(event_id % 9, 0) END AS BIGINT) AS lead_time_days FROM events",
-    "csv_text_extract": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
+    "csv_text_extract": r"""SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, coalesce(event_type, '') AS event_type, coalesce(props, '') AS props,
+        CASE event_id % 5 WHEN 0 THEN 'a "quoted", line' || chr(10) || 'break' WHEN 1 THEN '' WHEN 2 THEN ' NA ' ELSE coalesce(event_type, '') END AS note,
+        row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM events""",
+    "file_sha256": "SELECT regexp_extract(filename, '[^/]+$') AS file, sha256(content) AS sha256 FROM read_blob('/root/testdata/sf0.01/*.parquet')",
+    "stream_daily_totals": "SELECT CAST(l_suppkey AS VARCHAR) AS sku_id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS day, sum(l_quantity) AS demand_qty, max(l_linenumber) AS lead_time_days FROM lineitem GROUP BY 1, 2",
+    "panel_output_order": f'{PANEL} SELECT {_COLUMNS}, row_number() OVER (ORDER BY sku_id, "timestamp") - 1 AS place FROM panel',
     "demand_classes": f"""{PANEL}, stats AS (
         SELECT sku_id, count(*) AS days, count(*) FILTER (WHERE demand_qty > 0) AS active, avg(demand_qty) FILTER (WHERE demand_qty > 0) AS m, var_pop(demand_qty) FILTER (WHERE demand_qty > 0) AS v FROM panel GROUP BY sku_id
     ) SELECT sku_id, days, active, round(days / active, 6) AS adi, round(v / (m * m), 6) AS cv2,

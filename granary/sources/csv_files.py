@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import hashlib
-import io
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -60,31 +59,50 @@ def _header(path: Path) -> list[str]:
     return names
 
 
-def read_text_csv(spark: SparkSession, path: Path | str, *, multiline: bool = True) -> DataFrame:
-    """All columns as text in file order, with the row's position in ROW_INDEX.
+def _breaks_in_quotes(spark: SparkSession, path: Path) -> bool:
+    """Whether a quoted field may hold a line break: only then has a line an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return not spark.read.text(str(path)).filter(quotes % 2 == 1).isEmpty()
 
-    Empty fields are '' and literals such as NA stay text; short rows are padded with ''; a row with
-    more fields than the header is an error (ValueError), and so is an empty file.  With `multiline`
-    (the default, needed for line breaks in quotes) a file is one task; without it the scan is split
-    and row positions come from a pass over partition sizes.
-    """
+
+def scan_text_csv(spark: SparkSession, path: Path | str, *, multiline: bool | None = None) -> tuple[DataFrame, int]:
+    """read_text_csv() and the number of rows, which the pass that checks them counts as well."""
     path = Path(path)
     names = _header(path)
     inner = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*inner, _CORRUPT]])
-    raw = spark.read.schema(schema).options(header=True, multiLine=multiline, **_OPTIONS).csv(str(path))
-    # a line that did not fit the header, with at least as many commas as columns: too long, or quoted commas
-    commas = F.length(_CORRUPT) - F.length(F.replace(F.col(_CORRUPT), F.lit(",")))
-    for row in raw.filter(F.col(_CORRUPT).isNotNull() & (commas >= len(names))).toLocalIterator():
-        fields = next(csv.reader(io.StringIO(row[_CORRUPT])), [])
-        if len(fields) > len(names):
-            raise ValueError(f"a row of {path.name} has {len(fields)} fields, the header {len(names)}")
-    text = raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in inner])
-    if multiline:
-        placed = text.withColumn(ROW_INDEX, F.monotonically_increasing_id())
-    else:
-        placed = spark.createDataFrame(text.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), T.StructType([*text.schema.fields, T.StructField(ROW_INDEX, T.LongType())]))
-    return placed.toDF(*names, ROW_INDEX)
+    whole = _breaks_in_quotes(spark, path) if multiline is None else multiline
+    raw = spark.read.schema(schema).options(header=True, multiLine=whole, **_OPTIONS).csv(str(path)).withColumn(ROW_INDEX, F.monotonically_increasing_id())
+    # fields of a record that did not fit the header: the commas outside quotes, and one
+    outside = F.regexp_replace(_CORRUPT, '"(?:[^"]|"")*"', "")
+    fields = F.length(outside) - F.length(F.replace(outside, F.lit(","))) + 1
+    all_read = F.max(F.length(F.concat_ws("", *inner)))  # no column may be left out, or records are not checked
+    part = F.shiftright(ROW_INDEX, 33).alias("part")
+    # one row for each part of the file
+    parts = sorted(raw.groupBy(part).agg(F.count("*").alias("n"), F.max(fields).alias("fields"), all_read).collect())
+    longest = max((r["fields"] or 0 for r in parts), default=0)
+    if longest > len(names):
+        raise ValueError(f"a row of {path.name} has {longest} fields, the header {len(names)}")
+    # a row's position: that in its part, and the rows of the parts before
+    starts, total = [0] * (parts[-1]["part"] + 1 if parts else 1), 0
+    for r in parts:
+        starts[r["part"]] = total
+        total += r["n"]
+    offsets = F.expr(f"array({', '.join(f'{n}L' for n in starts)})")
+    inside = F.col(ROW_INDEX).bitwiseAND(F.lit((1 << 33) - 1))
+    place = inside + F.get(offsets, F.shiftright(ROW_INDEX, 33).cast("int"))
+    return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in inner], place.alias(ROW_INDEX)).toDF(*names, ROW_INDEX), total
+
+
+def read_text_csv(spark: SparkSession, path: Path | str, *, multiline: bool | None = None) -> DataFrame:
+    """All columns as text in file order, with the row's position in ROW_INDEX.
+
+    Empty fields are '' and literals such as NA stay text; short rows are padded with ''; a row with
+    more fields than the header is an error (ValueError), and so is an empty file.  The scan is split
+    into many tasks; only a file that may hold line breaks in quotes (looked for unless `multiline`
+    says so) is read by one.
+    """
+    return scan_text_csv(spark, path, multiline=multiline)[0]
 
 
 def _check_source(source: Path, raw: Path) -> None:
@@ -102,8 +120,7 @@ def extract_csv(spark: SparkSession, source: Path | str, *, data_root: Path | st
         _check_source(source, layout.raw)
         with raw_read_only_guard(layout.raw):
             found = sha256_of_file(source)
-            frame = read_text_csv(spark, source)
-            count = frame.count()
+            frame, count = scan_text_csv(spark, source)
         log_ingestion_event(logger, "csv extracted", file_hash=found, row_count=count)
         return ExtractionArtifact(frame, found, count, source)
     except Exception:

@@ -143,6 +143,12 @@ def test_post_json_errors(monkeypatch):
         assert "sesame" not in str(e.value)
 
 
+def test_answers_of_other_shapes():
+    for answer in ({}, {"candidates": []}, {"candidates": [None]}, {"candidates": {"0": 1}}, {"candidates": [{"content": {"parts": "ab"}}]}, {"candidates": [{"content": {"parts": [None, {"text": None}]}}]}):
+        assert not any(providers.GeminiProvider("k", model="m").texts(answer))
+    assert providers.dig({"a": [{"b": 1}]}, "a", 0, "b") == 1 and providers.dig([1], "a") is None and providers.dig("ab", 0) is None
+
+
 def test_logs():
     out = io.StringIO()
     logger = configure_json_logger("granary.test", stream=out)
@@ -154,4 +160,6 @@ def test_logs():
         logger.exception("bad")
     first, second = map(json.loads, out.getvalue().splitlines())
     assert (first["file_hash"], first["row_count"], first["level"]) == ("ab", 3, "INFO") and "ValueError" in second["exception"]
+    assert first["module"] == second["module"] == "test_ingest" and list(first) == ["timestamp", "level", "module", "file_hash", "row_count", "message"]
+    assert dt.datetime.fromisoformat(first["timestamp"]).utcoffset() == dt.timedelta(0)
     assert isinstance(logger.handlers[0].formatter, JsonFormatter) and not logger.propagate and logger.level == logging.INFO

@@ -68,3 +68,12 @@ def test_direct_calls(spark):
         run(("A", day(0), 1.0, 1), ("A", day(50), 1.0, 1), max_span_days=50)
     with pytest.raises(TemporalContinuityError):
         regrid.regrid_daily(spark.createDataFrame([("A",)], "sku_id string"))
+    with pytest.raises(Exception, match=regrid.SPAN_ERROR):
+        run(("A", day(0), 1.0, 1), ("A", day(30), 1.0, 1), ("A", day(50), 1.0, 1), max_span_days=50, validated=True).collect()
+    assert len(rows_of(run(("A", day(0), 1.0, 1), ("A", day(30), 1.0, 1), ("A", day(50), 1.0, 1), max_span_days=51, validated=True))) == 51
+
+
+def test_validated_frames_start_no_job(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    regrid.regrid_daily(spark.createDataFrame([("A", day(0), 1.0, 1)], SCHEMA), validated=True)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before

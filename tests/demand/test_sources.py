@@ -6,7 +6,7 @@ import pytest
 
 from granary.contract import RawWritePermissionError
 from granary.layout import deposit_raw_csv, enforce_raw_read_only, ensure_data_layout, is_under, raw_read_only_guard
-from granary.sources.csv_files import ROW_INDEX, extract_csv, read_text_csv, sha256_of_file, sha256_of_files
+from granary.sources.csv_files import ROW_INDEX, _breaks_in_quotes, extract_csv, read_text_csv, sha256_of_file, sha256_of_files
 from granary.sources.parquet_files import export_parquet, read_panel
 
 
@@ -59,6 +59,25 @@ def test_split_scan_keeps_positions(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_breaks_in_quotes_are_found(spark, tmp_path):
+    for text, whole in (('a,b\n"x\ny",1\n', True), ('a,b\n"x ""y"", z",1\n', False), ("a,b\n1,2\n", False)):
+        assert _breaks_in_quotes(spark, put(tmp_path, text)) == whole
+    path = put(tmp_path, "a,b\n" + "".join(f'"{i}, ""q""",\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        frame = read_text_csv(spark, path)
+        assert frame.rdd.getNumPartitions() > 4
+        assert [tuple(r) for r in frame.orderBy(ROW_INDEX).collect()] == [(f'{i}, "q"', "", i) for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_long_rows_with_quoted_commas(spark, tmp_path):
+    assert read(spark, put(tmp_path, 'a,b\n"1,2,3"\n"x,y",2\n'))[1] == [("1,2,3", ""), ("x,y", "2")]
+    with pytest.raises(ValueError, match="4 fields"):
+        read(spark, put(tmp_path, 'a,b\n1,2\n"x,y",2,3,\n'))
+
+
 def test_extract(spark, tmp_path):
     path = put(tmp_path, "sku,qty\n" + "A,1\n" * 50_001)
     got = extract_csv(spark, path, data_root=tmp_path)
