@@ -19,10 +19,7 @@ model of any size costs a worker no heap.
 
 from __future__ import annotations
 
-import hashlib
 import math
-import os
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -31,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, open_folder, others, session_partitions, written
+from .shared import drop_written, new_folder, open_folder, others, session_partitions, written
 from .textops import hash_tokens, mix64, slices, text_buffers
 
 U = np.uint64
@@ -43,6 +40,10 @@ FLUSH_TOKENS = 1 << 22
 SAMPLE = 64
 #: Contexts of one order that are spread over the buckets, at most.
 HOT = 512
+#: Tokens of the corpus for each bucket, at most by the sample's count, so that a bucket fits a task's memory.
+BUCKET_TOKENS = 1 << 23
+#: Files that a worker holds open, at most; those that cannot be mapped take memory.
+OPEN_FILES = 4096
 #: Bytes of text scored at once.
 SCORE_BYTES = 1 << 21
 
@@ -193,7 +194,7 @@ class SortedFile:
     def __init__(self, folder: str, text: str):
         name, *sizes = text.split()
         lengths = dict(zip("nrkow", map(int, sizes), strict=True))
-        data = np.memmap(_local(folder, name), np.uint8, "r") if any(lengths.values()) else np.zeros(0, np.uint8)
+        data = _bytes_of(folder, name) if any(lengths.values()) else np.zeros(0, np.uint8)
         at = 0
         for key, kind, field_ in self.ARRAYS:
             size = lengths[field_] * np.dtype(kind).itemsize
@@ -227,19 +228,14 @@ class SortedFile:
         return out
 
 
-def _local(folder: str, name: str) -> str:
-    """A path that can be mapped: the file itself, or one copy of it for this machine."""
+def _bytes_of(folder: str, name: str) -> np.ndarray:
+    """The bytes of a file: mapped where the shared folder is mounted, else read; nothing is copied to
+    a disk of the machine."""
     fs, root = open_folder(folder)
     if fs.type_name == "local":
-        return f"{root}/{name}"
-    path = os.path.join(tempfile.gettempdir(), "granary-" + hashlib.sha1(f"{folder}/{name}".encode()).hexdigest())
-    if not os.path.exists(path):
-        own = f"{path}.{uuid.uuid4().hex}"
-        with fs.open_input_stream(f"{root}/{name}") as source, open(own, "wb") as out:
-            while part := source.read(1 << 22):
-                out.write(part)
-        os.replace(own, path)
-    return path
+        return np.memmap(f"{root}/{name}", np.uint8, "r")
+    with fs.open_input_file(f"{root}/{name}") as source:
+        return np.frombuffer(source.read_buffer(), np.uint8)
 
 
 @dataclass
@@ -260,6 +256,8 @@ class KneserNey:
     def _open(self, level: int, bucket: int) -> SortedFile:
         key = self.folder, level, bucket
         if key not in _opened:
+            if len(_opened) >= OPEN_FILES:
+                _opened.clear()
             _opened[key] = SortedFile(self.folder, self.files[level][bucket])
         return _opened[key]
 
@@ -348,29 +346,37 @@ def discounts(t: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def _hot_contexts(docs: DataFrame, order: int, buckets: int) -> dict[int, np.ndarray]:
-    """Contexts that make up more than a quarter of a bucket's mean share in a sample of the rows."""
+def _hot_contexts(docs: DataFrame, order: int, buckets: int | None) -> tuple[dict[int, np.ndarray], int]:
+    """Contexts that make up more than a quarter of a bucket's mean share in a sample of the rows, and
+    the number of buckets: at least one for each of the session's partitions unless given."""
 
     def read(batches):
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
             for lo, hi in slices(offsets):
                 columns = grams(*hash_tokens(data, offsets[lo : hi + 1]), order)
+                yield row(1, np.zeros(0, U), np.zeros(0, np.int64), len(columns[0]))
                 for level in range(2, order + 1):
                     values, counts = np.unique(columns[-level], return_counts=True)
                     top = np.argsort(-counts)[:HOT]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top) + 1, level, np.int32)), pa.array(np.append(values[top], U(0)).astype(np.int64)), pa.array(np.append(counts[top], len(columns[0])))], ["level", "context", "n"])
+                    yield row(level, values[top], counts[top], len(columns[0]))
+
+    def row(level: int, contexts: np.ndarray, counts: np.ndarray, tokens: int) -> pa.RecordBatch:
+        # the zero context carries the number of tokens
+        n = len(contexts) + 1
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, level, np.int32)), pa.array(np.append(contexts, U(0)).astype(np.int64)), pa.array(np.append(counts, tokens))], ["level", "context", "n"])
 
-    # the zero context carries the number of tokens
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
     counted = sample.mapInArrow(read, "level int, context long, n long").groupBy("level", "context").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n")).limit((order - 1) * HOT).collect()
+    top = counted.orderBy(F.desc("n")).limit(1 + order * HOT).collect()
+    tokens = max((r["n"] for r in top if r["context"] == 0), default=0)
+    if buckets is None:
+        buckets = max(session_partitions(docs.sparkSession), -(-tokens * SAMPLE // BUCKET_TOKENS))
     out = {}
     for level in range(2, order + 1):
-        rows = {r["context"]: r["n"] for r in top if r["level"] == level}
-        limit = rows.pop(0, 0) / (4 * buckets)
-        out[level] = np.sort(np.array([c for c, n in rows.items() if n > limit], np.int64).astype(U))
-    return out
+        rows = {r["context"]: r["n"] for r in top if r["level"] == level and r["context"]}
+        out[level] = np.sort(np.array([c for c, n in rows.items() if n > tokens / (4 * buckets)], np.int64).astype(U))
+    return out, buckets
 
 
 def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> KneserNey:
@@ -379,9 +385,8 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
     An empty table gives a model that knows nothing: every token has probability 1.
     """
     spark = docs.sparkSession
-    buckets = buckets or session_partitions(spark)
     folder = new_folder(spark, "ngrams")
-    hot = _hot_contexts(docs, order, buckets)
+    hot, buckets = _hot_contexts(docs, order, buckets)
     pads = pad_contexts(order)
 
     def count(batches):
@@ -458,7 +463,9 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
     blocks = docs.select("text").mapInArrow(count, _SCHEMA)
     for level in range(order, 0, -1):
         blocks = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(reduce(level), _SCHEMA)
-    rows = written(blocks, "manifest").select("bucket", "level", "meta").collect()  # one for each bucket and order
+    manifest = written(blocks, "manifest")
+    rows = manifest.select("bucket", "level", "meta").collect()  # one for each bucket and order
+    drop_written(manifest)
 
     model = KneserNey(folder, order, buckets, hot=hot)
     none = "- 0 0 0 0 0"

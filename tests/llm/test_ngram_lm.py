@@ -81,7 +81,7 @@ def test_spread_contexts_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plain = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs, 2)).collect()}
     words, _ = ngram_lm.hash_tokens(np.frombuffer(b"w1 w2 w3 the", np.uint8), np.array([0, 12]))
-    monkeypatch.setattr(ngram_lm, "_hot_contexts", lambda *a: {2: np.sort(words)})
+    monkeypatch.setattr(ngram_lm, "_hot_contexts", lambda docs, order, buckets: ({2: np.sort(words)}, 4))
     spread = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs, 2)).collect()}
     assert spread == pytest.approx(plain)
 
@@ -108,20 +108,43 @@ def test_empty_tables_nulls_and_other_columns(spark):
     assert all(r["n_known"] == 0 and r["score"] == 0 for r in kept.collect())
 
 
-# words whose contexts begin with the same 24 bits as an edge of 3 or 7 equal ranges of ids
-ON_EDGES = {3: ["e7507843", "e17647843"], 7: ["e2388496", "e3003550", "e4693216", "e13516816", "e16309987", "e17011343"]}
-
-
-@pytest.mark.parametrize("buckets", [3, 7])
-def test_contexts_on_edges_stay_whole(spark, buckets):
+@pytest.fixture(scope="module")
+def leading_bits():
+    """The first 24 bits by which contexts are placed, for the words e00000000 on."""
+    found = []
+    for lo in range(0, 16_000_000, 2_000_000):
+        k = np.arange(lo, lo + 2_000_000)
+        text = np.full((len(k), 10), ord("e"), np.uint8)
+        for d in range(8):
+            text[:, 8 - d] = ord("0") + k // 10**d % 10
+        text[:, 9] = ord(" ")
+        words, _ = ngram_lm.hash_tokens(text.ravel(), np.array([0, text.size]))
+        found.append((ngram_lm.mix64(words) >> np.uint64(40)).astype(np.int64))
+    return np.concatenate(found)
+
+
+@pytest.mark.parametrize("buckets", [5, 7])
+def test_contexts_on_edges_stay_whole(spark, buckets, leading_bits):
+    """Contexts that begin with the same 24 bits as an edge of 5 or 7 equal ranges of ids."""
+    at = np.flatnonzero(np.isin(leading_bits, [(b << 64) // buckets >> 40 for b in range(1, buckets)]))
+    words = [f"e{k:08d}" for k in at.tolist()]
+    assert words
     r = random.Random(buckets)
-    texts = [" ".join(x for _ in range(20) for x in (r.choice(ON_EDGES[buckets]), f"v{r.randint(0, 60)}")) for _ in range(30)]
+    texts = [" ".join(x for _ in range(20) for x in (r.choice(words), f"v{r.randint(0, 60)}")) for _ in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs, 2, buckets)).collect()}
     known = Brute(texts, 2)
     assert got == pytest.approx({i: known.log10(t) for i, t in enumerate(texts)}, rel=1e-9)
 
 
+def test_buckets_grow_with_the_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c d e f g h " * 50) for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(ngram_lm, "SAMPLE", 2)
+    monkeypatch.setattr(ngram_lm, "BUCKET_TOKENS", 8000)
+    _, buckets = ngram_lm._hot_contexts(docs, 2, None)
+    assert 15 <= buckets <= 26
+
+
 def test_production_model_tells_longer_contexts_apart(spark):
     """Texts of the same word pairs, of which only one's triples occur in the corpus."""
     rows = [(i, "a b c" if i % 2 else "d b e") for i in range(40)]
