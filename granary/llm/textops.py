@@ -7,6 +7,7 @@ are walked in slices of bounded size; a single document is never split.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -167,6 +168,8 @@ class CachedEncoder:
     def __init__(self, path: str, keep: int = 600_000):
         import json
 
+        # a task has a core; the library's pool of threads would only spin on others
+        os.environ.update(RAYON_NUM_THREADS="1", TOKENIZERS_PARALLELISM="false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
