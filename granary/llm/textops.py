@@ -159,8 +159,9 @@ class CachedEncoder:
     A chunk is a run of Latin letters with at most one space before it, the full stops and commas
     after one, another run of non-spaces, or the white space left over; the pre-tokeniser always
     cuts between these, so the ids of a text are those of its chunks in order.  What is not
-    remembered goes to the library a thousand chunks at a time, set apart by newlines, whose id
-    occurs in no chunk of non-spaces; letters are one pre-token each and skip the pre-tokeniser.
+    remembered goes to the library a thousand chunks at a time: letters, which are one pre-token
+    each and skip the pre-tokeniser, are told apart by the bytes that each id stands for, others by
+    newlines, whose id occurs in no chunk of non-spaces.
     The first `keep` chunks of at most 64 characters are remembered, others for the length of a call only.
     Texts that hold an added token's string, and vocabularies of another kind, are encoded whole.
     """
@@ -181,7 +182,11 @@ class CachedEncoder:
         self.by_chunk = splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space") and not config["normalizer"]
         self.newline = self._ids("\n")
         self.letters = _byte_letters()
-        self.letters[ord("\n")] = f" {self.letters[ord('\n')]} "
+        self.letters[ord("\n")] = " "
+        # bytes of each id: in the byte-level alphabet a character is a byte
+        self.sizes = np.zeros(self.largest + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)
         # a cheaper splitter, for pre-tokens that are in the byte-level alphabet already
         self.splitters = self.tokenizer.pre_tokenizer, pre_tokenizers.WhitespaceSplit()
         self.tokenizer.model._resize_cache(0)
@@ -199,22 +204,33 @@ class CachedEncoder:
                     letters.append(c)
                 elif _WORD.fullmatch(c):
                     others.append(c)
-        for words, fast in ((letters, True), (others, False)):
-            self.tokenizer.pre_tokenizer = self.splitters[fast]
-            for at in range(0, len(words), 1000):
-                part = words[at : at + 1000]
-                joined = "\n".join(part)
-                raw = self._ids(joined.encode().decode("latin-1").translate(self.letters)) if fast else self._ids(joined)
-                cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.newline, "<u4"))
-                if len(cuts) == len(part) - 1:
-                    lo = 0
-                    for chunk, cut in zip(part, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                        self.known[chunk] = raw[lo:cut]
-                        lo = cut + 4
+        self.tokenizer.pre_tokenizer = self.splitters[True]
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            joined = "\n".join(part).encode()
+            raw = self._ids(joined.decode("latin-1").translate(self.letters))
+            breaks = np.flatnonzero(np.frombuffer(joined + b"\n", np.uint8) == ord("\n"))
+            ends = np.searchsorted(np.cumsum(self.sizes[np.frombuffer(raw, "<u4")]), breaks - np.arange(len(part))) + 1
+            if ends[-1] == len(raw) // 4:
+                self._remember(part, raw, (4 * ends).tolist(), 0)
+        self.tokenizer.pre_tokenizer = self.splitters[False]
+        for at in range(0, len(others), 1000):
+            part = others[at : at + 1000]
+            raw = self._ids("\n".join(part))
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.newline, "<u4"))
+            if len(cuts) == len(part) - 1:
+                self._remember(part, raw, [*(4 * cuts).tolist(), len(raw)], 4)
         for chunk in chunks:
             if chunk not in self.known:
                 self.known[chunk] = self._ids(chunk)
 
+    def _remember(self, chunks: list[str], raw: bytes, ends: list[int], apart: int) -> None:
+        """Cuts the ids of consecutive chunks, `apart` bytes from each other, at their ends."""
+        lo = 0
+        for chunk, end in zip(chunks, ends, strict=True):
+            self.known[chunk] = raw[lo:end]
+            lo = end + apart
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
@@ -225,9 +241,8 @@ class CachedEncoder:
         get = self.known.__getitem__
         out = [self._ids(t) if t and any(s in t for s in self.special) else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
         spare = max(0, self.keep - len(self.known) + len(new))
-        for k, chunk in enumerate(new):
-            if k >= spare or len(chunk) > 64:
-                del self.known[chunk]
+        for chunk in {*new[spare:], *(c for c in new if len(c) > 64)}:
+            del self.known[chunk]
         return out
 
 
