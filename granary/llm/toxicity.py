@@ -62,9 +62,10 @@ class Batch:
 
     def __init__(self, columns: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
         self.labels, self.scale = labels, 1 / np.sqrt(sizes)
-        self.row, self.starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
-        self.terms, self.place = np.unique(columns, return_inverse=True)
-        self.order = np.argsort(self.place, kind="stable")
+        self.row, self.starts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.cumsum(sizes) - sizes
+        self.terms, place = np.unique(columns, return_inverse=True)
+        self.place = place.astype(np.int32)
+        self.order = np.argsort(self.place, kind="stable").astype(np.int32)
         self.firsts = np.searchsorted(self.place[self.order], np.arange(len(self.terms)))
 
     def by_term(self, x: np.ndarray) -> np.ndarray:
@@ -99,8 +100,9 @@ class FactorizationMachine:
         n, positive = len(labels), labels.sum()
         bias = float(np.log((positive + 1) / (n - positive + 1)))
         if not len(rows) or not 0 < positive < n:
-            return cls(np.zeros(0, np.int32), bias, np.zeros(0), np.zeros((0, rank)))
+            return cls(np.zeros(0, np.int32), bias, np.zeros(0, np.float32), np.zeros((0, rank), np.float32))
         terms, columns = np.unique(buckets, return_inverse=True)
+        columns = columns.astype(np.int32)
         trusted = trust(columns, rows, labels, len(terms))
         rng = np.random.default_rng(seed)
         weights, factors = np.zeros(len(terms)), rng.normal(0, 0.1, (len(terms), rank))
@@ -139,14 +141,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
 
     Rows with a null doc_id or a null or other label are not learned from.  A doc_id that occurs
     more than once in `labels` counts by its largest label, one that occurs more than once in `docs`
-    by the text of least hash.  The driver gets the distinct terms (at most BUCKETS numbers) of each.
+    by the text of least hash.  One task learns from the distinct terms (at most BUCKETS numbers) of
+    each; the driver gets the model.
     """
     known = labels.filter("toxic in (0, 1)").filter(~held_out_column()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = picked.collect()  # at most `sample` small rows
+    untrained = FactorizationMachine(np.zeros(0, np.int32), 0.0, np.zeros(0, np.float32), np.zeros((0, RANK), np.float32))
     if not chosen:
-        return FactorizationMachine(np.zeros(0, np.int32), 0.0, np.zeros(0), np.zeros((0, RANK)))
-    # bounded by `sample` rows of two numbers
+        return untrained
+    # at most `sample` rows of two numbers
     picked = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, _toxic int")
 
     def terms(batches):
@@ -158,7 +162,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(buckets, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark", "_toxic")], lists], ["doc_id", "mark", "_toxic", "terms"])
 
-    got = (
+    def fit(batches):
+        # at most `sample` rows; their order must not depend on the exchange
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        got = pa.Table.from_batches(held).combine_chunks()
+        got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy()))).combine_chunks()
+        lists = got["terms"].chunk(0)
+        rows = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+        model = FactorizationMachine.fit(rows, lists.flatten().to_numpy(), got["_toxic"].to_numpy().astype(np.int64))
+        arrays = [pa.array([x.tobytes()], pa.binary()) for x in (model.terms, model.weights, model.factors)]
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), *arrays], ["bias", "terms", "weights", "factors"])
+
+    learned = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(F.broadcast(picked), "doc_id")
         .select("doc_id", F.xxhash64("text").alias("mark"), "text", "_toxic")
@@ -166,14 +183,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
         .groupBy("doc_id", "_toxic")
         .agg(F.min_by("terms", "mark").alias("terms"))
         .select("doc_id", "_toxic", "terms")
-        .toArrow()
+        .repartition(1)
+        .mapInArrow(fit, "bias double, terms binary, weights binary, factors binary")
+        .first()
     )
-    if not got.num_rows:
-        return FactorizationMachine(np.zeros(0, np.int32), 0.0, np.zeros(0), np.zeros((0, RANK)))
-    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy()))).combine_chunks()
-    lists = got["terms"].combine_chunks() if isinstance(got["terms"], pa.ChunkedArray) else got["terms"]
-    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    return FactorizationMachine.fit(rows, lists.flatten().to_numpy(), got["_toxic"].to_numpy().astype(np.int64))
+    if not learned:
+        return untrained
+    weights, factors = (np.frombuffer(learned[c], np.float32) for c in ("weights", "factors"))
+    return FactorizationMachine(np.frombuffer(learned["terms"], np.int32), learned["bias"], weights, factors.reshape(-1, RANK))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:
