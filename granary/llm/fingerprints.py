@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, session_partitions
+from .shared import drop_written, session_partitions, tidy
 from .sharding import key_struct, known_id, long_structs, order_keys, ordered_parts
 from .textops import span_hashes
 
@@ -183,4 +183,4 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return placed.mapInArrow(prints, SCHEMA)
+    return placed.mapInArrow(tidy(prints), SCHEMA)

@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components, spread_join
-from .shared import drop_written, written, written_union
+from .shared import drop_written, tidy, written, written_union
 from .textops import hash_tokens, mix64, slices, sorted_unique, text_buffers
 
 U = np.uint64
@@ -201,7 +201,7 @@ def classes(docs: DataFrame, salt: int = 0) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "node", "proof", "signature"])
 
-    return written(marked(docs).mapInArrow(read, "doc_id long, mark long, n_shingles long, node long, proof long, signature binary"), "classes")
+    return written(marked(docs).mapInArrow(tidy(read), "doc_id long, mark long, n_shingles long, node long, proof long, signature binary"), "classes")
 
 
 def distinct_classes(docs: DataFrame) -> tuple[int, DataFrame, DataFrame]:
@@ -231,7 +231,7 @@ def keyed(nodes: DataFrame, limits: Limits, slots: np.ndarray | None = None) ->
                 named = pa.array(np.tile(used.astype(np.int32), s.num_rows))
                 yield pa.RecordBatch.from_arrays([*[s.column(c).take(at) for c in rest], named, pa.array(keys)], [*rest, "slot", "key"])
 
-    return nodes.mapInArrow(emit, ", ".join([*[f"{c} long" for c in rest], "slot int", "key long"]))
+    return nodes.mapInArrow(tidy(emit), ", ".join([*[f"{c} long" for c in rest], "slot int", "key long"]))
 
 
 def star_pairs(nodes: DataFrame, limits: Limits) -> DataFrame:
@@ -254,7 +254,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
     with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-    return with_a.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
+    return with_a.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(keep), "a long, b long")
 
 
 def central(signatures: np.ndarray) -> int:
@@ -349,7 +349,7 @@ def cross_pairs(members: DataFrame, limits: Limits, how: str = "all") -> DataFra
             yield np.repeat(i, len(right)), np.tile(right, len(i))
 
     ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    return ordered.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(tidy(compare), "a long, b long")
 
 
 def mixed_keys(nodes: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
@@ -375,7 +375,7 @@ def full_sets(docs: DataFrame, table: DataFrame, nodes: DataFrame, salt: int) ->
                 sets = [s for s in shingle_sets(data, offsets[lo : hi + 1]) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([class_ids(s, salt)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    return written(texts.mapInArrow(read, "node long, shingles binary").join(nodes, "node", "left_semi"), "sets")
+    return written(texts.mapInArrow(tidy(read), "node long, shingles binary").join(nodes, "node", "left_semi"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -398,7 +398,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
+    return with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(tidy(keep), "a long, b long")
 
 
 class Linker:

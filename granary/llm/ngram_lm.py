@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, new_folder, open_folder, others, session_partitions, written
+from .shared import drop_written, new_folder, open_folder, others, session_partitions, tidy, written
 from .textops import hash_tokens, mix64, slices, text_buffers
 
 U = np.uint64
@@ -367,7 +367,7 @@ def _hot_contexts(docs: DataFrame, order: int, buckets: int | None) -> tuple[dic
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, level, np.int32)), pa.array(np.append(contexts, U(0)).astype(np.int64)), pa.array(np.append(counts, tokens))], ["level", "context", "n"])
 
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
-    counted = sample.mapInArrow(read, "level int, context long, n long").groupBy("level", "context").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidy(read), "level int, context long, n long").groupBy("level", "context").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n")).limit(1 + order * HOT).collect()
     tokens = max((r["n"] for r in top if r["context"] == 0), default=0)
     if buckets is None:
@@ -460,9 +460,9 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
 
         return run
 
-    blocks = docs.select("text").mapInArrow(count, _SCHEMA)
+    blocks = docs.select("text").mapInArrow(tidy(count), _SCHEMA)
     for level in range(order, 0, -1):
-        blocks = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(reduce(level), _SCHEMA)
+        blocks = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(reduce(level)), _SCHEMA)
     manifest = written(blocks, "manifest")
     rows = manifest.select("bucket", "level", "meta").collect()  # one for each bucket and order
     drop_written(manifest)
@@ -515,7 +515,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     kept = docs.select(*[F.col(f"`{c}`") for c in names], "text")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text"], "n_tokens long, n_known long, base_score double, score double, perplexity double"])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def held_out_column(folds: int = 10) -> Column:

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .textops import encoder, slices, text_buffers
 
 CAPACITY = 2048
@@ -170,4 +171,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity:
         if out := packer.taken():
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(pack), SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import others, with_field
+from .shared import others, tidy, with_field
 from .textops import slices, text_buffers
 
 MARK = "▁"
@@ -178,7 +178,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in names], ids], [*names, "ids"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    return kept.mapInArrow(encode, with_field(kept.schema, "ids", "array<int>"))
+    return kept.mapInArrow(tidy(encode), with_field(kept.schema, "ids", "array<int>"))
 
 
 def decode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
@@ -195,7 +195,7 @@ def decode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(texts, pa.string())], [*names, "decoded"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    return kept.mapInArrow(decode, with_field(kept.schema, "decoded", "string"))
+    return kept.mapInArrow(tidy(decode), with_field(kept.schema, "decoded", "string"))
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -227,4 +227,4 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
                     library_crc.append(zlib.crc32(given))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *[pa.array(c, pa.int64()) for c in (n, crc, back)], pa.array(same), *[pa.array(c, pa.int64()) for c in (library_n, library_crc)]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, n_library long, library_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(digest), "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, n_library long, library_crc32 long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import with_field
+from .shared import tidy, with_field
 from .textops import slices, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
@@ -315,7 +315,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return kept.mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return kept.mapInArrow(tidy(find), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str | None, base: dict[str, list[Span]], more: dict[str, list[Span]]) -> str | None:
@@ -346,6 +346,6 @@ def mask_documents(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[s.column(c) for c in rest], texts], [*rest, "text"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text"))
-    done = kept.mapInArrow(mask, with_field(kept.drop("text").schema, "text", "string"))
+    done = kept.mapInArrow(tidy(mask), with_field(kept.drop("text").schema, "text", "string"))
     counted = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None
     return done.select(*[counted.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])

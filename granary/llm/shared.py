@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -77,6 +80,23 @@ def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a mapInArrow, after which the worker, which lives on for other tasks, gives what
+    it has freed back to the system."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of the frame has it in any case."""
     taken = {c.lower() for c in df.columns}

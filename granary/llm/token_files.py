@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_written, new_folder, open_folder, session_partitions, written
+from .shared import drop_written, new_folder, open_folder, session_partitions, tidy, written
 from .sharding import order_keys, ordered_parts
 from .textops import encoder, slices, text_buffers
 
@@ -170,7 +170,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, length:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([first], pa.int32()), "name": [name], "n_docs": pa.array([rows], pa.int64()), "n_tokens": pa.array([writer.total], pa.int64())})
 
-    return folder, written(placed.mapInArrow(write, "part int, name string, n_docs long, n_tokens long"), "manifest")
+    return folder, written(placed.mapInArrow(tidy(write), "part int, name string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -197,4 +197,4 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     yield pa.RecordBatch.from_arrays([ids, pa.array(starts + base), pa.array(counts), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(files, "name string, base long").repartition(len(files))
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import session_partitions, written
+from .shared import session_partitions, tidy, written
 
 BLOCK = 4096
 QUERIES = 512
@@ -142,7 +142,7 @@ def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         for dims in list(held):
             yield out(dims)
 
-    packed = vectors.select("vec_id", "v").mapInArrow(pack, "dims int, ids binary, data binary")
+    packed = vectors.select("vec_id", "v").mapInArrow(tidy(pack), "dims int, ids binary, data binary")
     return written(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
 
@@ -190,7 +190,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         if best is not None:
             yield out()
 
-    found = met.select("dims", "query", "query_ids", "query_data", "ids", "data").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = met.select("dims", "query", "query_ids", "query_data", "ids", "data").mapInArrow(tidy(search), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import others, with_field
+from .shared import others, tidy, with_field
 from .textops import cut_tokens, slices, sorted_unique, span_hashes, text_buffers
 
 #: Labelled rows learned from at most: those with the smallest hash of their doc_id.
@@ -179,12 +179,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(F.broadcast(picked), "doc_id")
         .select("doc_id", F.xxhash64("text").alias("mark"), "text", "_toxic")
-        .mapInArrow(terms, "doc_id long, mark long, _toxic int, terms array<int>")
+        .mapInArrow(tidy(terms), "doc_id long, mark long, _toxic int, terms array<int>")
         .groupBy("doc_id", "_toxic")
         .agg(F.min_by("terms", "mark").alias("terms"))
         .select("doc_id", "_toxic", "terms")
         .repartition(1)
-        .mapInArrow(fit, "bias double, terms binary, weights binary, factors binary")
+        .mapInArrow(tidy(fit), "bias double, terms binary, weights binary, factors binary")
         .first()
     )
     if not learned:
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: FactorizationMachine, name: str = "score") ->
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(found)], [*names, name])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    return kept.mapInArrow(add, with_field(kept.schema, name, "double"))
+    return kept.mapInArrow(tidy(add), with_field(kept.schema, name, "double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
