@@ -300,7 +300,9 @@ def listed(spans: dict[str, list[Span]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, base counts by kind, base_sha256, all spans, and n_added.
 
-    Repeated rows are kept; an empty table gives an empty result; nothing is shuffled.
+    Null and empty texts have no spans, and base_sha256 of the empty string; a null doc_id stays null.
+    Repeated rows are kept; other columns are ignored; an empty table gives an empty result; nothing
+    is shuffled.
     """
 
     def find(batches):
@@ -333,7 +335,11 @@ def masked(text: str | None, base: dict[str, list[Span]], more: dict[str, list[S
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with its columns, identifiers in `text` masked and `n_chars`, if there, counted anew."""
+    """`docs` with its columns, identifiers in `text` masked and `n_chars`, if there, counted anew.
+
+    Null texts stay null (and so their n_chars), empty ones empty; repeated rows are kept; an empty
+    table gives an empty result; columns of other names pass through.
+    """
     names = docs.columns
     rest = [c for c in names if c != "text"]
 
