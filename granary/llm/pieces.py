@@ -11,7 +11,7 @@ A unigram model's scores are used as they are.  A BPE model's are merge ranks r,
 probabilities, and adding ranks would favour many short pieces; they count as -ln(1 + r), Zipf's law.
 Viterbi over these is the best-scoring cut, which is not always the one that BPE's merges reach, so
 the ids that the public library gives by the model's own algorithm are at hand beside it
-(`PieceModel.library_ids`, `library` columns); they too are remembered by word, as no piece and so no
+(`PieceModel.encode_both`, `library` columns); they too are remembered by word, as no piece and so no
 merge crosses the start of a word.
 """
 
@@ -20,7 +20,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,7 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for _, p, _ in normal):
             raise ValueError("a piece holds a space mark inside")
         self.unknown_score = min(s for _, _, s in normal) - UNKNOWN_PENALTY
+        self.singles = {p for _, p, _ in normal if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for i, piece, score in normal:
             self.automaton.add_word(piece, (i, len(piece), score))
@@ -78,6 +80,23 @@ class PieceModel:
 
     def viterbi(self, word: str) -> list[int]:
         """Ids of the best-scoring cut of a word; of equal scores the one with the longer last piece."""
+        if not self.singles.issuperset(word):
+            return self._viterbi_with_unknown(word)
+        # every character is a piece, so every position is reached
+        n, none = len(word), -float("inf")
+        best, back = [0.0] + [none] * n, [None] * (n + 1)
+        for last, found in self.automaton.iter(word):
+            end = last + 1
+            total = best[end - found[1]] + found[2]
+            if total > best[end]:
+                best[end], back[end] = total, found
+        out: list[int] = []
+        while n:
+            out.append(back[n][0])
+            n -= back[n][1]
+        return out[::-1]
+
+    def _viterbi_with_unknown(self, word: str) -> list[int]:
         n, none = len(word), -float("inf")
         best, back = [none] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
@@ -111,35 +130,40 @@ class PieceModel:
             n -= length
         return out[::-1]
 
-    def _by_words(self, text: str | None, known: dict[str, bytes], ids_of: Callable[[str], list[int]]) -> bytes:
-        if not text:
-            return b""
-        words = _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > self.keep:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = np.array(ids_of(w), "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, words))
+    def _cut(self, text: str | None) -> list[str]:
+        return _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
+
+    def _library_many(self, words: list[str]) -> list[list[int]]:
+        found = self.library.encode([w[self.prefix :].replace(MARK, " ") for w in words], num_threads=1)
+        # without a text the library adds no mark either
+        return [[self.library.piece_to_id(MARK)] if self.prefix and w == MARK else ids for w, ids in zip(words, found, strict=True)]
+
+    def _joined(self, cut: list[list[str]], unique: set[str], known: dict[str, bytes], ids_of: Callable[[list[str]], Iterable[list[int]]]) -> list[bytes]:
+        """The ids of texts cut into words, of which those in `unique`, remembering short words."""
+        if len(known) > self.keep:
+            known.clear()
+        new = list(unique.difference(known))
+        known.update((w, array("I", ids).tobytes()) for w, ids in zip(new, ids_of(new), strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
         for w in new:
             if len(w) > KEEP_CHARACTERS:
                 del known[w]
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers; null and empty texts have none."""
-        return self._by_words(text, self.known, self.viterbi)
-
-    def library_ids(self, text: str | None) -> bytes:
-        """Ids of a text by the public library, in the same form."""
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null and empty texts have none."""
+        cut = [self._cut(t) for t in texts]
+        return self._joined(cut, set().union(*cut), self.known, lambda words: map(self.viterbi, words))
 
-        def ids(word: str) -> list[int]:
-            # without a text the library adds no mark either
-            return [self.library.piece_to_id(MARK)] if self.prefix and word == MARK else self.library.encode(word[self.prefix :].replace(MARK, " "))
+    def encode_both(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """encode_many() and, in the same form, the ids of each text by the public library."""
+        cut = [self._cut(t) for t in texts]
+        unique = set().union(*cut)
+        own = self._joined(cut, unique, self.known, lambda words: map(self.viterbi, words))
+        return own, self._joined(cut, unique, self.library_known, self._library_many)
 
-        return self._by_words(text, self.library_known, ids)
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, control and unknown ids nothing."""
@@ -170,7 +194,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
             _, offsets = text_buffers(texts)
             for lo, hi in slices(offsets):
                 part = texts.slice(lo, hi - lo).to_pylist()
-                got = [None if t is None else model.encode(t) for t in part]
+                got = [None if t is None else ids for t, ids in zip(part, model.encode_many(part), strict=True)]
                 sizes = np.cumsum([0, *[len(g) // 4 if g else 0 for g in got]])
                 flat = np.frombuffer(b"".join(g for g in got if g), "<i4")
                 mask = pa.array([g is None for g in got])
@@ -214,17 +238,13 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
             ids, texts = b.column("doc_id"), b.column("text")
             _, offsets = text_buffers(texts)
             for lo, hi in slices(offsets):
-                n, crc, back, same, library_n, library_crc = [], [], [], [], [], []
-                for t in texts.slice(lo, hi - lo).to_pylist():
-                    got = model.encode(t)
-                    text = model.decode(np.frombuffer(got, "<u4"))
-                    n.append(len(got) // 4)
-                    crc.append(zlib.crc32(got))
-                    back.append(zlib.crc32(text.encode()))
-                    same.append(text == (t or ""))
-                    given = model.library_ids(t)
-                    library_n.append(len(given) // 4)
-                    library_crc.append(zlib.crc32(given))
+                part = texts.slice(lo, hi - lo).to_pylist()
+                own, given = model.encode_both(part)
+                decoded = [model.decode(np.frombuffer(got, "<u4")) for got in own]
+                n, library_n = ([len(x) // 4 for x in got] for got in (own, given))
+                crc, library_crc = (list(map(zlib.crc32, got)) for got in (own, given))
+                back = [zlib.crc32(x.encode()) for x in decoded]
+                same = [x == (t or "") for x, t in zip(decoded, part, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *[pa.array(c, pa.int64()) for c in (n, crc, back)], pa.array(same), *[pa.array(c, pa.int64()) for c in (library_n, library_crc)]], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(digest), "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, n_library long, library_crc32 long")
