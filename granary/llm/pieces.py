@@ -44,7 +44,7 @@ _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 class PieceModel:
     """Pieces and scores of a model file without normalisation rules."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 500_000):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -139,15 +139,13 @@ class PieceModel:
         return [[self.library.piece_to_id(MARK)] if self.prefix and w == MARK else ids for w, ids in zip(words, found, strict=True)]
 
     def _joined(self, cut: list[list[str]], unique: set[str], known: dict[str, bytes], ids_of: Callable[[list[str]], Iterable[list[int]]]) -> list[bytes]:
-        """The ids of texts cut into words, of which those in `unique`, remembering short words."""
-        if len(known) > self.keep:
-            known.clear()
+        """The ids of texts cut into the words in `unique`; the first `keep` short words are remembered."""
         new = list(unique.difference(known))
+        spare = max(0, self.keep - len(known))
         known.update((w, array("I", ids).tobytes()) for w, ids in zip(new, ids_of(new), strict=True))
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for w in new:
-            if len(w) > KEEP_CHARACTERS:
-                del known[w]
+        for w in {*new[spare:], *(w for w in new if len(w) > KEEP_CHARACTERS)}:
+            del known[w]
         return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:

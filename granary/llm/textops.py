@@ -166,7 +166,7 @@ class CachedEncoder:
     Texts that hold an added token's string, and vocabularies of another kind, are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         import json
 
         # a task has a core; the library's pool of threads would only spin on others
