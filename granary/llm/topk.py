@@ -15,8 +15,10 @@ lists, when nearly every candidate has been met in one of them.
 Scores are exact: products are summed as doubles where all sums stay below 2**53, as 64-bit integers
 below 2**63; vectors whose scores might not fit a long raise an error.
 
-Queries are a stated set; they meet the candidates block by block.  A task holds one block of each
-and K rows for each query, and the rows that leave it are K for each query and group of blocks.
+Queries are a stated set; they meet the candidates block by block.  Both are packed into blocks in
+the shared folder.  A task holds the packed blocks of its group and reads the queries from that
+folder, WAVE blocks at a time, so they are neither joined nor sent through the driver; the rows that
+leave it are K for each query and group of blocks.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import session_partitions, tidy, written
+from .shared import open_folder, session_partitions, tidy, written
 
 BLOCK = 4096
 QUERIES = 512
+#: Blocks of queries that a task holds at once, and blocks of candidates that one group has, at most.
+WAVE, GROUP = 64, 16
 #: Depth of the first look at the bound, as a share of the lists; each next one is DEEPER times it.
 FIRST_SHARE, DEEPER = 1 / 512, 2
 
@@ -52,9 +56,10 @@ class Block:
         self.sorted = np.take_along_axis(self.vectors, lists, axis=0)
         # the place of each candidate in each list, counted from the small end and from the large end
         n, dims = self.vectors.shape
-        small = np.empty((dims, n), np.int32)
-        np.put_along_axis(small, lists.T, np.arange(n, dtype=np.int32)[None], axis=1)
-        self.places = np.stack((small, np.int32(n - 1) - small))
+        kind = np.int16 if n <= 1 << 15 else np.int32  # short ones are sorted by their digits
+        small = np.empty((dims, n), kind)
+        np.put_along_axis(small, lists.T, np.arange(n, dtype=kind)[None], axis=1)
+        self.places = np.stack((small, kind(n - 1) - small))
         self.largest = largest(self.vectors)
 
     def first_met(self, up: np.ndarray) -> np.ndarray:
@@ -115,16 +120,30 @@ def threshold_search(block: Block, query_ids: np.ndarray, queries: np.ndarray, b
     return computed
 
 
+def _least(data: np.ndarray) -> np.ndarray:
+    """The integers in the shortest of three kinds that holds them."""
+    for kind in (np.int16, np.int32):
+        if np.iinfo(kind).min <= data.min(initial=0) and data.max(initial=0) <= np.iinfo(kind).max:
+            return data.astype(kind)
+    return data
+
+
+_PACKED = "dims int, width int, ids binary, data binary"
+
+
 def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """Written: blocks of at most `rows` vectors of one length, as bytes: block, dims, ids, data."""
+    """Written: blocks of at most `rows` vectors of one length, as bytes: block, dims, width (bytes of a
+    component), ids, data."""
 
     def pack(batches) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def out(dims: int) -> pa.RecordBatch:
-            parts = held.pop(dims)
-            binaries = [pa.array([np.concatenate([p[k] for p in parts]).tobytes()], pa.binary()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *binaries], ["dims", "ids", "data"])
+            ids, data = (np.concatenate([p[k] for p in held[dims]]) for k in (0, 1))
+            del held[dims]
+            data = _least(data)
+            columns = [pa.array([dims], pa.int32()), pa.array([data.itemsize], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, data)]]
+            return pa.RecordBatch.from_arrays(columns, ["dims", "width", "ids", "data"])
 
         for b in batches:
             ids, column = b.column("vec_id").to_numpy(), b.column("v")
@@ -142,10 +161,36 @@ def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         for dims in list(held):
             yield out(dims)
 
-    packed = vectors.select("vec_id", "v").mapInArrow(tidy(pack), "dims int, ids binary, data binary")
+    packed = vectors.select("vec_id", "v").mapInArrow(tidy(pack), _PACKED)
     return written(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
 
+def _unpacked(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a packed block."""
+    dims, width = (batch.column(c)[r].as_py() for c in ("dims", "width"))
+    ids, data = (batch.column(c)[r].as_buffer() for c in ("ids", "data"))
+    return np.frombuffer(ids, np.int64), np.frombuffer(data, f"i{width}").reshape(-1, dims).astype(np.int64)
+
+
+def _waves(folder: str, size: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The packed blocks that written() left in a folder, `size` at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
+    fs, root = open_folder(folder)
+    wave: list[tuple[np.ndarray, np.ndarray]] = []
+    for path in sorted(f.path for f in fs.get_file_info(FileSelector(root)) if f.base_name.endswith(".parquet") and f.base_name[0] not in "._"):
+        with fs.open_input_file(path) as source:
+            for b in pq.ParquetFile(source).iter_batches(batch_size=8, columns=["dims", "width", "ids", "data"], use_threads=False):
+                for r in range(b.num_rows):
+                    wave.append(_unpacked(b, r))
+                    if len(wave) >= size:
+                        yield wave
+                        wave = []
+    if wave:
+        yield wave
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """For each query row the k other rows of its length with the highest integer inner product.
 
@@ -157,40 +202,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     candidates, queries = _packed(vectors, BLOCK, "candidates"), _packed(vectors.filter(is_query), QUERIES, "queries")
-    groups = max(1, min(candidates.count(), 2 * session_partitions(spark)))
-    # a group of candidate blocks meets every query block; a query block is at most QUERIES vectors
-    sides = candidates.select(F.pmod(F.col("block") + F.shiftright("block", 33), F.lit(groups)).cast("int").alias("part"), "dims", "ids", "data")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "dims", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.col("block").alias("query"))
-    met = asked.repartition(groups, "part").join(sides.repartition(groups, "part"), ["part", "dims"])
+    (folder,) = queries._written_at
+    # a block's number: that in its part, and the blocks of the parts before; one row for each part
+    counts = {r["part"]: r["n"] for r in candidates.groupBy(F.shiftright("block", 33).cast("int").alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts = np.cumsum([0, *[counts.get(p, 0) for p in range(max(counts, default=0) + 1)]]).tolist()
+    groups = max(1, min(starts[-1], 2 * session_partitions(spark)), -(-starts[-1] // GROUP))
+    offsets = F.expr(f"array({', '.join(f'{n}L' for n in starts)})")
+    number = F.get(offsets, F.shiftright("block", 33).cast("int")) + F.col("block").bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = candidates.withColumn("part", (number % groups).cast("int")).repartitionById(groups, F.col("part"))
 
     def search(batches):
-        name, best, query_ids, asked_ = None, None, None, None
-
-        def out() -> pa.RecordBatch:
-            kept = best.ids < np.iinfo(np.int64).max
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, kept.sum(1))), pa.array(best.ids[kept]), pa.array(best.scores[kept])], ["query_id", "vec_id", "score"])
-
-        blocks: dict[bytes, Block] = {}
-        for b in batches:
-            for r in range(b.num_rows):
-                now, dims = b.column("query")[r].as_py(), b.column("dims")[r].as_py()
-                if now != name:
-                    if best is not None:
-                        yield out()
-                    name = now
-                    query_ids = np.frombuffer(b.column("query_ids")[r].as_buffer(), np.int64)
-                    asked_ = np.frombuffer(b.column("query_data")[r].as_buffer(), np.int64).reshape(-1, dims)
-                    best = Best(len(query_ids), k)
-                ids = b.column("ids")[r].as_py()
-                if ids not in blocks:
-                    if len(blocks) >= 8:
-                        blocks.clear()
-                    blocks[ids] = Block(np.frombuffer(ids, np.int64), np.frombuffer(b.column("data")[r].as_buffer(), np.int64).reshape(-1, dims))
-                threshold_search(blocks[ids], query_ids, asked_, best)
-        if best is not None:
-            yield out()
-
-    found = met.select("dims", "query", "query_ids", "query_data", "ids", "data").mapInArrow(tidy(search), "query_id long, vec_id long, score long")
+        group = [b.slice(r, 1) for b in batches for r in range(b.num_rows)]
+        if not group:
+            return
+        lengths = {b.column("dims")[0].as_py() for b in group}
+        for wave in _waves(folder, WAVE):
+            asked = [(ids, data, Best(len(ids), k)) for ids, data in wave if data.shape[1] in lengths]
+            for b in group:
+                block = Block(*_unpacked(b, 0))
+                for ids, data, best in asked:
+                    if data.shape[1] == block.vectors.shape[1]:
+                        threshold_search(block, ids, data, best)
+            for ids, _, best in asked:
+                kept = best.ids < np.iinfo(np.int64).max
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, kept.sum(1))), pa.array(best.ids[kept]), pa.array(best.scores[kept])], ["query_id", "vec_id", "score"])
+
+    found = dealt.select("dims", "width", "ids", "data").mapInArrow(tidy(search), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -62,3 +62,18 @@ def test_exact_beyond_doubles(spark):
 def test_scores_that_fit_no_long(spark):
     with pytest.raises(Exception, match="64-bit"):
         search(spark, [(0, [1e30, 1.0]), (1, [2.0, 1e30])])
+
+
+def test_queries_are_not_sent_through_the_driver(spark):
+    """However small the queries' table looks, no copy of it for each group of blocks is broadcast."""
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "vec_id long, embedding array<float>").repartition(4)
+    plan = topk.top_k(topk.integer_vectors(frame), F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_more_queries_than_one_wave(spark, monkeypatch):
+    for name, size in (("BLOCK", 16), ("QUERIES", 2), ("WAVE", 3), ("GROUP", 4)):
+        monkeypatch.setattr(topk, name, size)
+    r = np.random.default_rng(4)
+    rows = [(int(i) * 10, [float(x) for x in r.choice([1, 300, 1e5], 1) * r.normal(size=2 + i % 3)]) for i in range(400)]
+    assert search(spark, rows) == brute([(i, np.float32(v).tolist()) for i, v in rows])
