@@ -328,8 +328,9 @@ def lead_parse(spark, sf_dir):
 
 
 def file_sha256(spark, sf_dir):
-    """Every table's file with its hash."""
-    name = F.element_at(F.split("path", "/"), -1)
+    """Every table's file with its hash; the files of a table that is a folder go by that folder's name
+    and their own."""
+    name = F.regexp_extract("path", r"([^/]+\.parquet/.+|[^/]+)$", 0)
     return csv_files.sha256_of_files(spark, f"{sf_dir}/*.parquet").select(name.alias("file"), "sha256")
 
 

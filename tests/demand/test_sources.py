@@ -144,3 +144,14 @@ def test_deposit(tmp_path):
     with pytest.raises(FileNotFoundError):
         deposit_raw_csv(tmp_path / "none.csv", data_root=root)
     assert is_under(first, root) and not is_under(source, root) and not is_under("\0", root)
+
+
+def test_files_of_tables_that_are_folders_keep_apart(spark, tmp_path):
+    from granary.plans import queries
+
+    files = {"a.parquet": b"1", "b.parquet/part-0000.parquet": b"2", "c.parquet/part-0000.parquet": b"3"}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = queries.file_sha256(spark, str(tmp_path)).collect()
+    assert {r["file"]: r["sha256"] for r in found} == {n: hashlib.sha256(c).hexdigest() for n, c in files.items()} and len(found) == 3
