@@ -5,11 +5,15 @@ sort and count the highest-order grams of their texts with numpy and send one pa
 bucket; a bucket is a range of gram ids, so a bucket's task merges its blocks into one sorted array.
 It then knows the statistics of its contexts, and sends each distinct gram on, without its first
 word, to the next lower order, whose counts are the number of distinct left neighbours (grams that
-begin a text keep their frequency).  All orders are one chain of exchanges of packed blocks.
+begin a text keep their frequency).  The orders are a chain of exchanges of packed blocks.
 
-Gram ids keep the grams of a context together (24 bits of the context, 40 of the gram), so context
-statistics are complete within a bucket.  Contexts that a small sample shows to be very frequent
-are spread over all buckets by the full hash of the gram; their statistics, for at most HOT contexts
+All orders above the first go by passes over the texts, each for the grams whose last word follows
+one share of the words: a gram and all its endings but the single word belong to one pass, and the
+exchanges of a pass leave the disks before the next one's.  The first order follows the passes.
+
+Gram ids begin with the pass and keep the grams of a context together (24 bits of pass and context,
+40 of the gram), so context statistics are complete within a bucket.  Contexts that a small sample shows to be very frequent
+are spread over all buckets of their pass by the full hash of the gram; their statistics, for at most HOT contexts
 of each order, are added up on the driver.  Which contexts these are changes no count and no score.
 
 Storage.  Each bucket is one file of sorted hash arrays in the shared folder, named in the manifest
@@ -19,6 +23,8 @@ model of any size costs a worker no heap.
 
 from __future__ import annotations
 
+import functools
+import gc
 import math
 import uuid
 from dataclasses import dataclass, field
@@ -34,6 +40,8 @@ from .textops import hash_tokens, mix64, slices, text_buffers
 U = np.uint64
 #: Order of the production model.
 ORDER = 3
+#: The texts are passed over 2**PASS_BITS times.
+PASS_BITS = 3
 #: Tokens counted in memory before a map task sends its blocks.
 FLUSH_TOKENS = 1 << 22
 #: Share of rows whose contexts are looked at to find frequent ones, in 1 / SAMPLE.
@@ -56,9 +64,19 @@ def _chain(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
     return mix64(newer * _STEP + mix64(older + _STEP))
 
 
-def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+def pass_of(previous: np.ndarray) -> np.ndarray:
+    """The pass of the grams whose last word follows these words."""
+    return mix64(previous ^ _STEP) >> U(64 - PASS_BITS)
+
+
+def _in_pass(ids: np.ndarray, previous: np.ndarray) -> np.ndarray:
+    """The ids moved into the range of their pass."""
+    return pass_of(previous) << U(64 - PASS_BITS) | ids >> U(PASS_BITS)
+
+
+def grams(words: np.ndarray, counts: np.ndarray, order: int, only: int | None = None) -> list[np.ndarray]:
     """Columns (context of order - 1 words, ..., context of 1 word, word) for every token of
-    consecutive texts; each text gets an end token, and pads stand before it."""
+    consecutive texts, or of pass `only`; each text gets an end token, and pads stand before it."""
     texts, pads = len(counts), order - 1
     place = np.arange(len(words)) + np.repeat(np.arange(texts), counts) * (pads + 1) + pads
     ends = np.cumsum(counts + pads + 1) - 1
@@ -69,6 +87,8 @@ def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]
     for k in range(pads):
         tokens[starts + k] = False
     at = np.flatnonzero(tokens)
+    if only is not None:
+        at = at[pass_of(padded[at - 1]) == U(only)]
     columns = [padded[at]]
     context = None
     for k in range(1, order):
@@ -87,16 +107,18 @@ def pad_contexts(order: int) -> list[int]:
     return out
 
 
-def gram_ids(context: np.ndarray | None, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Ids of grams; those of the contexts in `hot` (ascending) are spread, others stay together."""
-    if context is None:
-        return word
+def gram_ids(columns: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+    """Ids of grams, given as the columns of grams() from their order's on; those of the contexts in
+    `hot` (ascending) are spread, others stay together."""
+    if len(columns) == 1:
+        return columns[0]
+    context, previous, word = columns[0], columns[-2], columns[-1]
     full = mix64(context * _STEP ^ word)
     near = mix64(context) >> U(40) << U(40) | full >> U(24)
-    if not len(hot):
-        return near
-    at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-    return np.where(hot[at] == context, full, near)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+        near = np.where(hot[at] == context, full, near)
+    return _in_pass(near, previous)
 
 
 def _merge(ids: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -161,13 +183,14 @@ def _send(level: int, buckets: int, ids: np.ndarray, columns: list[np.ndarray],
 
 
 class SortedFile:
-    """One bucket of one order: sorted ids with counts, and sorted contexts with their statistics."""
+    """One bucket of one order: sorted ids with counts, and sorted contexts with their statistics; those
+    of one gram seen once, the most, stand apart without."""
 
     STATISTICS = ("totals", "n1", "n2", "n3")
     #: (name, kind, length field) of the arrays in the file, widest kinds first.  Counts and statistics
     #: take a byte; those of 255 and more stand apart.
     ARRAYS = (
-        *(("ids", "<u8", "n"), ("raw", "<u8", "r"), ("contexts", "<u8", "k"), ("large", "<u8", "o")),
+        *(("ids", "<u8", "n"), ("raw", "<u8", "r"), ("contexts", "<u8", "k"), ("singles", "<u8", "s"), ("large", "<u8", "o")),
         *((f"wide_{s}", "<u8", "w") for s in STATISTICS),
         *(("large_at", "<u4", "o"), ("wide_at", "<u4", "w"), ("counts", "u1", "n")),
         *((s, "u1", "k") for s in STATISTICS),
@@ -181,11 +204,15 @@ class SortedFile:
         counts = arrays.pop("counts")
         large = np.flatnonzero(counts >= 255)
         arrays |= {"counts": np.minimum(counts, 255), "large_at": large, "large": counts[large]}
+        single = arrays["totals"] == 1
+        arrays["singles"] = arrays["contexts"][single]
+        for key in ("contexts", *cls.STATISTICS):
+            arrays[key] = arrays[key][~single]
         wide = np.flatnonzero(arrays["totals"] >= 255)  # no other statistic is larger
         for s in cls.STATISTICS:
             arrays |= {f"wide_{s}": arrays[s][wide], s: np.minimum(arrays[s], 255)}
         arrays["wide_at"] = wide
-        sizes = {"n": len(counts), "r": len(arrays["raw"]), "k": len(arrays["contexts"]), "o": len(large), "w": len(wide)}
+        sizes = {"n": len(counts), "r": len(arrays["raw"]), "k": len(arrays["contexts"]), "o": len(large), "w": len(wide), "s": len(arrays["singles"])}
         with fs.open_output_stream(f"{root}/{name}") as out:
             for key, kind, _ in cls.ARRAYS:
                 out.write(arrays[key].astype(kind).tobytes())
@@ -193,7 +220,7 @@ class SortedFile:
 
     def __init__(self, folder: str, text: str):
         name, *sizes = text.split()
-        lengths = dict(zip("nrkow", map(int, sizes), strict=True))
+        lengths = dict(zip("nrkows", map(int, sizes), strict=True))
         data = _bytes_of(folder, name) if any(lengths.values()) else np.zeros(0, np.uint8)
         at = 0
         for key, kind, field_ in self.ARRAYS:
@@ -225,6 +252,9 @@ class SortedFile:
             for row, s in zip(out, self.STATISTICS, strict=True):
                 row[there] = getattr(self, s)[at]
                 row[there[apart]] = getattr(self, f"wide_{s}")[wide[apart]]
+        if len(self.singles):
+            at = np.minimum(np.searchsorted(self.singles, contexts), len(self.singles) - 1)
+            out[:2, self.singles[at] == contexts] = 1  # the total, and the grams seen once
         return out
 
 
@@ -292,7 +322,7 @@ class KneserNey:
         seen[order] = raw
         for level in range(2, self.order + 1):
             context = columns[-level]
-            ids = gram_ids(context, word, self.hot[level])
+            ids = gram_ids(columns[-level:], self.hot[level])
             order = np.argsort(ids)
             ids = ids[order]
             counts = np.zeros(len(ids), U)
@@ -300,7 +330,7 @@ class KneserNey:
                 counts[at] = self._open(level, b).find(part)[0]
             back = np.empty(len(ids), U)
             back[order] = counts
-            stats = self._context_statistics(level, context)
+            stats = self._context_statistics(level, context, columns[-2])
             total = np.maximum(stats[0], 1)
             d = self.discounts[level]
             gamma = np.where(stats[0] > 0, (d[0] * stats[1] + d[1] * stats[2] + d[2] * stats[3]) / total, 1.0)
@@ -308,12 +338,12 @@ class KneserNey:
             lower = own + gamma * lower
         return np.log10(lower), seen
 
-    def _context_statistics(self, level: int, context: np.ndarray) -> np.ndarray:
+    def _context_statistics(self, level: int, context: np.ndarray, previous: np.ndarray) -> np.ndarray:
         order = np.argsort(context)
         ordered = context[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
         unique = ordered[first]
-        keys = mix64(unique)
+        keys = _in_pass(mix64(unique), previous[order[first]])
         by_key = np.argsort(keys)
         found = np.zeros((4, len(unique)))
         for b, at, part in self._in_buckets(level, keys[by_key], unique[by_key]):
@@ -379,8 +409,21 @@ def _hot_contexts(docs: DataFrame, order: int, buckets: int | None) -> tuple[dic
     return out, buckets
 
 
+def _counted(texts: DataFrame, count, reduces: list, each: int) -> DataFrame:
+    """Written: what one pass leaves to the first order, and its manifest."""
+    blocks = texts.mapInArrow(tidy(count), _SCHEMA)
+    for reduce in reduces:
+        blocks = blocks.repartitionById(each, F.col("bucket") % each).mapInArrow(tidy(reduce), _SCHEMA)
+    out = written(blocks, "counted")
+    del blocks
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the files of exchanges that the driver has forgotten
+    return out
+
+
 def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> KneserNey:
     """Counts a model over the whole texts of `docs` (null: empty) and writes it to the shared folder.
+    The number of buckets is rounded up to a multiple of the passes.
 
     An empty table gives a model that knows nothing: every token has probability 1.
     """
@@ -388,27 +431,33 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
     folder = new_folder(spark, "ngrams")
     hot, buckets = _hot_contexts(docs, order, buckets)
     pads = pad_contexts(order)
+    passes = 1 << PASS_BITS if order > 1 else 1
+    each = -(-buckets // passes)  # buckets of a pass
+    buckets = each * passes
 
-    def count(batches):
-        held: list[list[np.ndarray]] = []
-        size = 0
+    def count(only: int | None):
+        def run(batches):
+            held: list[list[np.ndarray]] = []
+            size = 0
 
-        def flush():
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            ids = gram_ids(columns[0] if order > 1 else None, columns[-1], hot.get(order, np.zeros(0, U)))
-            ids, columns, sums = _merge(ids, columns, [np.ones(len(ids), U)])
-            return _send(order, buckets, ids, columns, sums)
+            def flush():
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                ids = gram_ids(columns, hot.get(order, np.zeros(0, U)))
+                ids, columns, sums = _merge(ids, columns, [np.ones(len(ids), U)])
+                return _send(order, buckets, ids, columns, sums)
 
-        for b in batches:
-            data, offsets = text_buffers(b.column("text"))
-            for lo, hi in slices(offsets):
-                held.append(grams(*hash_tokens(data, offsets[lo : hi + 1]), order))
-                size += len(held[-1][0])
-                if size >= FLUSH_TOKENS:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+            for b in batches:
+                data, offsets = text_buffers(b.column("text"))
+                for lo, hi in slices(offsets):
+                    held.append(grams(*hash_tokens(data, offsets[lo : hi + 1]), order, only))
+                    size += len(held[-1][0])
+                    if size >= FLUSH_TOKENS:
+                        yield from flush()
+                        held, size = [], 0
+            if held:
+                yield from flush()
+
+        return run
 
     def reduce(level: int):
         # at the highest order a row's sum is its frequency; below, (count, frequency)
@@ -428,8 +477,7 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
             columns = [np.concatenate([x[0][k] for x in blocks]) for k in range(level)]
             sums = [np.concatenate([x[1][k] for x in blocks]) for k in range(n_sums)]
             del blocks
-            context = columns[0] if level > 1 else None
-            ids, columns, sums = _merge(gram_ids(context, columns[-1], hot.get(level, np.zeros(0, U))), columns, sums)
+            ids, columns, sums = _merge(gram_ids(columns, hot.get(level, np.zeros(0, U))), columns, sums)
             counts, raw = sums[0], sums[-1]
             tallies = [int((counts == U(k)).sum()) for k in (1, 2, 3, 4)]
             if level > 1:
@@ -446,8 +494,7 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
                 if level > 2:
                     weight[context == U(pads[order - level])] = counts[context == U(pads[order - level])]
                 below = columns[1:]
-                lower_context = below[0] if level > 2 else None
-                lower_ids, below, lower = _merge(gram_ids(lower_context, below[-1], hot.get(level - 1, np.zeros(0, U))), below, [weight, raw])
+                lower_ids, below, lower = _merge(gram_ids(below, hot.get(level - 1, np.zeros(0, U))), below, [weight, raw])
                 yield from _send(level - 1, buckets, lower_ids, below, lower)
             else:
                 partial = ""
@@ -460,15 +507,18 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
 
         return run
 
-    blocks = docs.select("text").mapInArrow(tidy(count), _SCHEMA)
-    for level in range(order, 0, -1):
-        blocks = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(reduce(level)), _SCHEMA)
-    manifest = written(blocks, "manifest")
+    texts = docs.select("text")
+    if order == 1:
+        parts = [texts.mapInArrow(tidy(count(None)), _SCHEMA)]
+    else:
+        parts = [_counted(texts, count(p), [reduce(level) for level in range(order, 1, -1)], each) for p in range(passes)]
+    blocks = functools.reduce(DataFrame.union, parts)
+    manifest = written(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(reduce(1)), _SCHEMA), "manifest")
     rows = manifest.select("bucket", "level", "meta").collect()  # one for each bucket and order
-    drop_written(manifest)
+    drop_written(manifest, *parts)
 
     model = KneserNey(folder, order, buckets, hot=hot)
-    none = "- 0 0 0 0 0"
+    none = "- 0 0 0 0 0 0"
     for level in range(1, order + 1):
         model.files[level] = [none] * buckets
         sums, partials = np.zeros(8, np.int64), {}

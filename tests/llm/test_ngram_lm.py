@@ -161,3 +161,22 @@ def test_statistics_of_255_and_more(spark):
         known = Brute(texts, order)
         got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs, order)).collect()}
         assert got == pytest.approx({i: known.log10(t) for i, t in enumerate(texts)}, rel=1e-9)
+
+
+def test_passes_share_all_grams_with_their_endings():
+    r = np.random.default_rng(1)
+    words, counts = r.integers(0, 50, 4000).astype(np.uint64), np.array([1000, 0, 2500, 500])
+    whole = np.stack(ngram_lm.grams(words, counts, 3), 1)
+    shares = [np.stack(ngram_lm.grams(words, counts, 3, p), 1) for p in range(1 << ngram_lm.PASS_BITS)]
+    assert sorted(map(tuple, np.concatenate(shares))) == sorted(map(tuple, whole))
+    endings = [{tuple(g[1:]) for g in share.tolist()} for share in shares]
+    assert sum(map(len, endings)) == len(set().union(*endings)) and max(map(len, shares)) < len(whole) / 2
+
+
+def test_contexts_of_one_gram_take_a_hash_alone(tmp_path):
+    one = {s: np.array([1, 1, 2], np.uint64) for s in ("totals", "n1")} | {s: np.zeros(3, np.uint64) for s in ("n2", "n3")}
+    none, contexts = np.zeros(0, np.uint64), np.array([3, 5, 9], np.uint64)
+    text = ngram_lm.SortedFile.write(f"file://{tmp_path}", "a", ids=none, counts=none, raw=none, contexts=contexts, **one)
+    file = ngram_lm.SortedFile(f"file://{tmp_path}", text)
+    assert (tmp_path / "a").stat().st_size == 2 * 8 + 12
+    assert file.statistics(np.array([1, 3, 5, 9, 11], np.uint64)).T.tolist() == [[0] * 4, [1, 1, 0, 0], [1, 1, 0, 0], [2, 2, 0, 0], [0] * 4]
