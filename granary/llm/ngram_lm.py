@@ -182,18 +182,40 @@ def _send(level: int, buckets: int, ids: np.ndarray, columns: list[np.ndarray],
             yield _row(b, level, _pack([c[lo:hi] for c in columns], [s[lo:hi] for s in sums]))
 
 
+#: Sorted hashes of a set that are kept whole; a larger set keeps the last 48 bits and a table of the first.
+FEW = 1 << 12
+
+
+def _narrow(x: np.ndarray) -> tuple[dict[str, np.ndarray], int, int]:
+    """A sorted set without its repeated first bits: the whole hashes ("") or, for each value of the
+    first bits, where it begins ("_top"), and the others in two parts ("_mid", "_low"); the least
+    hash and the number of later bits."""
+    none = np.zeros(0, U)
+    if len(x) <= FEW:
+        return {"": x, "_top": none, "_mid": none, "_low": none}, 0, 0
+    base = x[0]
+    width = int(x[-1] - base).bit_length()
+    later = width - max(0, width - 48, min(16, width, len(x).bit_length() - 5))
+    rest = x - base
+    firsts = np.arange((int(rest[-1]) >> later) + 2, dtype=U)
+    top = np.searchsorted(rest >> U(later), firsts)
+    rest = rest & U((1 << later) - 1)
+    return {"": none, "_top": top, "_mid": rest >> U(16), "_low": rest & U(0xFFFF)}, int(base), later
+
+
 class SortedFile:
-    """One bucket of one order: sorted ids with counts, and sorted contexts with their statistics; those
-    of one gram seen once, the most, stand apart without."""
+    """One bucket of one order: sorted ids with counts, and sorted keys of contexts with their
+    statistics; those of one gram seen once, the most, stand apart without."""
 
     STATISTICS = ("totals", "n1", "n2", "n3")
-    #: (name, kind, length field) of the arrays in the file, widest kinds first.  Counts and statistics
-    #: take a byte; those of 255 and more stand apart.
+    SETS = ("ids", "contexts", "singles")
+    #: (name, kind) of the arrays in the file, widest kinds first.  Counts and statistics take a byte;
+    #: those of 255 and more stand apart.
     ARRAYS = (
-        *(("ids", "<u8", "n"), ("raw", "<u8", "r"), ("contexts", "<u8", "k"), ("singles", "<u8", "s"), ("large", "<u8", "o")),
-        *((f"wide_{s}", "<u8", "w") for s in STATISTICS),
-        *(("large_at", "<u4", "o"), ("wide_at", "<u4", "w"), ("counts", "u1", "n")),
-        *((s, "u1", "k") for s in STATISTICS),
+        *((s, "<u8") for s in (*SETS, "raw", "large", "wide_totals", "wide_n1", "wide_n2", "wide_n3")),
+        *((s, "<u4") for s in ("large_at", "wide_at", "ids_top", "contexts_top", "singles_top", "ids_mid", "contexts_mid", "singles_mid")),
+        *((f"{s}_low", "<u2") for s in SETS),
+        *((s, "u1") for s in ("counts", *STATISTICS)),
     )
 
     @classmethod
@@ -212,28 +234,63 @@ class SortedFile:
         for s in cls.STATISTICS:
             arrays |= {f"wide_{s}": arrays[s][wide], s: np.minimum(arrays[s], 255)}
         arrays["wide_at"] = wide
-        sizes = {"n": len(counts), "r": len(arrays["raw"]), "k": len(arrays["contexts"]), "o": len(large), "w": len(wide), "s": len(arrays["singles"])}
+        scales = []
+        for s in cls.SETS:
+            parts, *scale = _narrow(arrays[s])
+            arrays |= {f"{s}{k}": x for k, x in parts.items()}
+            scales += scale
         with fs.open_output_stream(f"{root}/{name}") as out:
-            for key, kind, _ in cls.ARRAYS:
+            for key, kind in cls.ARRAYS:
                 out.write(arrays[key].astype(kind).tobytes())
-        return " ".join(map(str, (name, *sizes.values())))
+        return " ".join(map(str, (name, *(len(arrays[key]) for key, _ in cls.ARRAYS), *scales)))
 
     def __init__(self, folder: str, text: str):
-        name, *sizes = text.split()
-        lengths = dict(zip("nrkows", map(int, sizes), strict=True))
-        data = _bytes_of(folder, name) if any(lengths.values()) else np.zeros(0, np.uint8)
+        name, *numbers = text.split()
+        numbers = list(map(int, numbers)) or [0] * (len(self.ARRAYS) + 2 * len(self.SETS))
+        lengths, scales = numbers[: len(self.ARRAYS)], numbers[len(self.ARRAYS) :]
+        data = _bytes_of(folder, name) if any(lengths) else np.zeros(0, np.uint8)
         at = 0
-        for key, kind, field_ in self.ARRAYS:
-            size = lengths[field_] * np.dtype(kind).itemsize
-            setattr(self, key, data[at : at + size].view(kind))
+        for (key, kind), length in zip(self.ARRAYS, lengths, strict=True):
+            size = length * np.dtype(kind).itemsize
+            setattr(self, key, np.asarray(data[at : at + size].view(kind)))
             at += size
+        self.scales = {s: (U(scales[2 * k]), U(scales[2 * k + 1])) for k, s in enumerate(self.SETS)}
+
+    def _places(self, name: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ascending hashes stand in a set (any place if absent), and which are there."""
+        whole, top, mid, low = (getattr(self, f"{name}{k}") for k in ("", "_top", "_mid", "_low"))
+        if not len(mid):
+            if not len(whole):
+                return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+            at = np.minimum(np.searchsorted(whole, x), len(whole) - 1)
+            return at, whole[at] == x
+        base, later = self.scales[name]
+        rest = x - base
+        first = rest >> later
+        inside = (x >= base) & (first < U(len(top) - 1))
+        first = np.where(inside, first, U(0)).astype(np.int64)
+        rest = rest & U((1 << int(later)) - 1)
+
+        def value(at: np.ndarray) -> np.ndarray:
+            return mid[at].astype(U) << U(16) | low[at]
+
+        lo, end = top[first].astype(np.int64), top[first + 1].astype(np.int64)
+        hi = end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            half = (lo[open_] + hi[open_]) >> 1
+            less = value(half) < rest[open_]
+            lo[open_[less]] = half[less] + 1
+            hi[open_[~less]] = half[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        at = np.minimum(lo, len(mid) - 1)
+        return at, inside & (lo < end) & (value(at) == rest)
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of ascending ids (0 if absent), their places, and which are there."""
-        if not len(self.ids):
-            return np.zeros(len(ids), U), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-        there = self.ids[at] == ids
+        at, there = self._places("ids", ids)
+        if not len(self.counts):
+            return np.zeros(len(ids), U), at, there
         counts = np.where(there, self.counts[at], 0).astype(U)
         full = np.flatnonzero(counts == 255)
         if len(full):
@@ -241,20 +298,17 @@ class SortedFile:
         return counts, at, there
 
     def statistics(self, contexts: np.ndarray) -> np.ndarray:
-        """Rows (total, n1, n2, n3) of ascending contexts; zeros if absent."""
+        """Rows (total, n1, n2, n3) of ascending keys of contexts; zeros if absent."""
         out = np.zeros((4, len(contexts)))
-        if len(self.contexts):
-            at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
-            there = self.contexts[at] == contexts
-            there, at = np.flatnonzero(there), at[there]
+        at, there = self._places("contexts", contexts)
+        there, at = np.flatnonzero(there), at[there]
+        if len(there):
             wide = np.minimum(np.searchsorted(self.wide_at, at), max(0, len(self.wide_at) - 1))
             apart = self.wide_at[wide] == at if len(self.wide_at) else np.zeros(len(at), bool)
             for row, s in zip(out, self.STATISTICS, strict=True):
                 row[there] = getattr(self, s)[at]
                 row[there[apart]] = getattr(self, f"wide_{s}")[wide[apart]]
-        if len(self.singles):
-            at = np.minimum(np.searchsorted(self.singles, contexts), len(self.singles) - 1)
-            out[:2, self.singles[at] == contexts] = 1  # the total, and the grams seen once
+        out[:2, self._places("singles", contexts)[1]] = 1  # the total, and the grams seen once
         return out
 
 
@@ -346,11 +400,8 @@ class KneserNey:
         keys = _in_pass(mix64(unique), previous[order[first]])
         by_key = np.argsort(keys)
         found = np.zeros((4, len(unique)))
-        for b, at, part in self._in_buckets(level, keys[by_key], unique[by_key]):
-            inner = np.argsort(part)
-            stats = np.empty((4, len(part)))
-            stats[:, inner] = self._open(level, b).statistics(part[inner])
-            found[:, by_key[at]] = stats
+        for b, at, part in self._in_buckets(level, keys[by_key], keys[by_key]):
+            found[:, by_key[at]] = self._open(level, b).statistics(part)
         hot = self.hot[level]
         if len(hot) and len(unique):
             at = np.minimum(np.searchsorted(hot, unique), len(hot) - 1)
@@ -482,14 +533,15 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
             tallies = [int((counts == U(k)).sum()) for k in (1, 2, 3, 4)]
             if level > 1:
                 context = columns[0]
-                by = np.argsort(context)
-                ordered, c = context[by], counts[by]
+                keys = _in_pass(mix64(context), columns[-2])
+                by = np.argsort(keys)
+                ordered, c = keys[by], counts[by]
                 at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
                 stats = [np.add.reduceat(x, at) for x in (c, (c == U(1)).astype(U), (c == U(2)).astype(U), (c > U(2)).astype(U))]
-                contexts = ordered[at]
+                contexts = context[by][at]
                 is_hot = np.isin(contexts, hot[level])
                 partial = ";".join(" ".join(map(str, (int(contexts[i]), *[int(s[i]) for s in stats]))) for i in np.flatnonzero(is_hot))
-                arrays = dict(zip(("totals", "n1", "n2", "n3"), (s[~is_hot] for s in stats), strict=True)) | {"contexts": contexts[~is_hot], "raw": raw[:0]}
+                arrays = dict(zip(("totals", "n1", "n2", "n3"), (s[~is_hot] for s in stats), strict=True)) | {"contexts": ordered[at][~is_hot], "raw": raw[:0]}
                 weight = np.ones(len(counts), U)
                 if level > 2:
                     weight[context == U(pads[order - level])] = counts[context == U(pads[order - level])]
@@ -518,7 +570,7 @@ def train(docs: DataFrame, order: int = ORDER, buckets: int | None = None) -> Kn
     drop_written(manifest, *parts)
 
     model = KneserNey(folder, order, buckets, hot=hot)
-    none = "- 0 0 0 0 0 0"
+    none = "-"
     for level in range(1, order + 1):
         model.files[level] = [none] * buckets
         sums, partials = np.zeros(8, np.int64), {}

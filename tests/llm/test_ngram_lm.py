@@ -180,3 +180,18 @@ def test_contexts_of_one_gram_take_a_hash_alone(tmp_path):
     file = ngram_lm.SortedFile(f"file://{tmp_path}", text)
     assert (tmp_path / "a").stat().st_size == 2 * 8 + 12
     assert file.statistics(np.array([1, 3, 5, 9, 11], np.uint64)).T.tolist() == [[0] * 4, [1, 1, 0, 0], [1, 1, 0, 0], [2, 2, 0, 0], [0] * 4]
+
+
+@pytest.mark.parametrize("spread", [0, 4, 40, 63])
+def test_large_sets_are_found_without_their_first_bits(tmp_path, spread):
+    r = np.random.default_rng(spread)
+    pool = np.unique(np.concatenate((r.integers(0, 1 << 64, 20_000, np.uint64, endpoint=False) >> np.uint64(spread), np.arange(6000, dtype=np.uint64))))
+    ids, absent = pool[::2], pool[1::2]
+    none = np.zeros(0, np.uint64)
+    text = ngram_lm.SortedFile.write(f"file://{tmp_path}", "a", ids=ids, counts=np.arange(len(ids), dtype=np.uint64), raw=none, contexts=none, **dict.fromkeys(("totals", "n1", "n2", "n3"), none))
+    file = ngram_lm.SortedFile(f"file://{tmp_path}", text)
+    counts, at, there = file.find(pool)
+    assert there.tolist() == np.isin(pool, ids).tolist() and at[there].tolist() == list(range(len(ids))) and counts[there].tolist() == list(range(len(ids)))
+    assert not file.find(absent)[0].any()
+    if len(ids) > 10_000 and spread < 40:
+        assert not len(file.ids) and len(file.ids_top) <= (1 << 16) + 1
