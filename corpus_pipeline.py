@@ -17,6 +17,8 @@ from granary.llm.shared import drop_written, free_name, written
 
 #: Percent of shared five-word shingles from which two documents count as copies.
 SIMILAR = 80
+#: Chunks of text whose ids a worker of the last stage remembers: executors still hold the heap of the stages before.
+REMEMBERED = 200_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=1, capacity=2048)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=1, capacity=2048, keep=REMEMBERED)
 
 
 STAGES = [

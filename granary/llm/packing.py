@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import tidy
-from .textops import encoder, slices, text_buffers
+from .textops import KEEP, encoder, slices, text_buffers
 
 CAPACITY = 2048
 GROUP_TOKENS = 1 << 20
@@ -149,19 +149,20 @@ class Packer:
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, keep: int = KEEP) -> DataFrame:
     """Packs every document (null text: empty, so only its end id) into sequences of `capacity` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Repeated rows are packed as often as they occur; other columns are ignored; an empty table gives
-    an empty result.  Sequence ids are unique; those of one partition follow each other.
+    an empty result.  Sequence ids are unique; those of one partition follow each other.  A worker
+    remembers the ids of `keep` chunks of text, which changes time and memory, not the result.
     """
 
     def pack(batches):
         packer = Packer(TaskContext.get().partitionId() << 36, capacity)
         for b in batches:
             ids, (_, offsets) = b.column("doc_id").to_pylist(), text_buffers(b.column("text"))
-            encode = encoder(vocabulary).encode
+            encode = encoder(vocabulary, keep).encode
             for lo, hi in slices(offsets):
                 for doc_id, got in zip(ids[lo:hi], encode(b.column("text").slice(lo, hi - lo).to_pylist()), strict=True):
                     packer.add(doc_id, got + end_id.to_bytes(4, "little"))

@@ -7,6 +7,7 @@ are walked in slices of bounded size; a single document is never split.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 #: Bytes of a span that are hashed lane by lane; longer ones go to xxh3.
 _LANES = 32
+#: Chunks of text that an encoder remembers, unless told otherwise; about 170 bytes each.
+KEEP = 800_000
 #: Everything in ASCII but letters and digits.
 NOT_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
@@ -166,7 +169,7 @@ class CachedEncoder:
     Texts that hold an added token's string, and vocabularies of another kind, are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = KEEP):
         import json
 
         # a task has a core; the library's pool of threads would only spin on others
@@ -193,6 +196,12 @@ class CachedEncoder:
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
+    def remember(self, keep: int) -> None:
+        """From now on the first `keep` chunks are remembered; those beyond are forgotten."""
+        if len(self.known) > keep:
+            self.known = dict(itertools.islice(self.known.items(), keep))
+        self.keep = keep
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
@@ -249,8 +258,10 @@ class CachedEncoder:
 _encoders: dict[str, CachedEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
-    """The worker's encoder of a vocabulary file; it lives as long as the worker."""
+def encoder(path: str, keep: int = KEEP) -> CachedEncoder:
+    """The worker's encoder of a vocabulary file; it lives as long as the worker, and remembers as many
+    chunks as its last caller allows."""
     if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
+        _encoders[path] = CachedEncoder(path, keep)
+    _encoders[path].remember(keep)
     return _encoders[path]
